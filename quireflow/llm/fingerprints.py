@@ -112,17 +112,20 @@ def with_next(docs: DataFrame) -> DataFrame:
             runs.append((first, []))
         runs[-1][1].append(cell)
         so_far += chars
-    plan = [(cell, r, first, (r - 1) % len(runs), (r + 1) % len(runs)) for r, (first, members) in enumerate(runs) for cell in members]
-    plan = spark.createDataFrame(plan, "cell int, run int, first long, ahead int, behind int")
-    home = F.struct(F.col("run").alias("run"), F.lit(0).alias("guest"), F.col("behind").alias("behind"))
-    guest = F.struct(F.col("ahead").alias("run"), F.lit(1).alias("guest"), F.col("run").alias("behind"))
+    plan = [(cell, r, first, (r - 1) % len(runs)) for r, (first, members) in enumerate(runs) for cell in members]
+    plan = spark.createDataFrame(plan, "cell int, run int, first long, ahead int")
+    home = F.struct(F.col("run").alias("run"), F.lit(0).alias("guest"))
+    guest = F.struct(F.col("ahead").alias("run"), F.lit(1).alias("guest"))
     places = F.when(F.col("sort_id") == F.col("first"), F.array(home, guest)).otherwise(F.array(home))
-    dealt = docs.join(F.broadcast(plan), "cell").select("doc_id", "text", "sort_id", F.inline(places))
+    dealt = docs.join(F.broadcast(plan), "cell").select("text", "sort_id", F.inline(places))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_CHARS)
     order = Window.partitionBy("run").orderBy("guest", "sort_id", F.xxhash64("text"), "text")
     pos = F.shiftleft(F.col("run").cast("long"), 40) + F.row_number().over(order)
-    after = F.when(F.lead("guest").over(order) == 1, F.shiftleft(F.col("behind").cast("long"), 40) + 1).otherwise(pos + 1)
-    seen = dealt.repartition(tasks, "run").select("run", "doc_id", "text", "guest", pos.alias("pos"), after.alias("next_pos"), F.lead("text").over(order).alias("next_text"))
+    behind = F.pmod(F.col("run") + 1, F.lit(max(1, len(runs)))).cast("long")
+    after = F.when(F.lead("guest").over(order) == 1, F.shiftleft(behind, 40) + 1).otherwise(pos + 1)
+    doc_id = F.when(F.col("sort_id") >= low, F.col("sort_id")).alias("doc_id")
+    # all that is moved is read by whoever reads the text, so that Spark moves it once for all of them
+    seen = dealt.repartition(tasks, "run").select("run", doc_id, "text", "guest", pos.alias("pos"), after.alias("next_pos"), F.lead("text").over(order).alias("next_text"))
     return seen.where("guest = 0").select("run", "pos", "next_pos", "doc_id", "text", "next_text")
 
 
@@ -156,9 +159,9 @@ def edited_fingerprints(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame
         F.substring("text", F.col("n_common") + 1, F.col("n_chars")).alias("rest"),
         F.concat(F.substring("kept", F.col("n_common") + 1, F.col("n_kept")), F.col("added")).alias("other_rest"),
     )
-    prints = written(fingerprint_pairs(parts, ["run", "pos"], samples=samples).drop("run"), "prints")
+    prints = written(about.join(fingerprint_pairs(parts, ["run", "pos"], samples=samples).drop("run"), "pos"), "prints")
     following = prints.select(F.col("pos").alias("next_pos"), F.col("print").alias("next_print"))
-    return about.join(prints, "pos").join(following, "next_pos").select(
+    return prints.join(following, "next_pos").select(
         "doc_id",
         "n_chars",
         "edited_sha256",

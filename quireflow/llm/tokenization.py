@@ -12,20 +12,26 @@ from __future__ import annotations
 import json
 import os
 import re
-
-#: Words that a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
-
-# The characters up to U+017F without controls, no-break space, soft hyphen and dotted capital I;
-# the letters and numbers among them by Unicode category; the contractions of the published word patterns.
-PLAIN = re.compile("[\t-\r -~¡-¬®-įı-ſ]*")
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+import struct
+import sys
+from array import array
+from itertools import islice
+
+#: Words that a worker remembers; beyond it the half that it met last is dropped.
+REMEMBERED = 600_000
+
+# White space, letters and numbers, by Unicode category, among the characters up to U+017F without
+# controls, no-break space, soft hyphen and dotted capital I; the contractions of the published word patterns.
+BLANK = " \t-\r"
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 NUMBERS = "0-9²³¹¼-¾"
+PLAIN = re.compile("[ -~\t-\r¡-¬®-įı-ſ]*")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
-#: Patterns by what the configuration asks for: words with the space before them, or words alone in lower case.
-SPACED = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
-LOWER = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: Patterns by what the configuration asks for: words with the space before them, or words alone in lower case. Either
+#: leaves out nothing but plain white space, so a text whose words are plain is plain.
+SPACED = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|{CONTRACTIONS}| ?[^{BLANK}{LETTERS}{NUMBERS}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+LOWER = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|{CONTRACTIONS}|[^{BLANK}{LETTERS}{NUMBERS}]+")
 
 
 class WordEncoder:
@@ -43,21 +49,25 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        found = (array("I", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
+        if sys.byteorder == "little":
+            return [ids.tobytes() for ids in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.pattern is None or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if self.pattern is None or any(s in text for s in self.special):
             return self._whole([text])[0]
         found = self.pattern.findall(text.lower() if self.lower else text)
         try:
             return b"".join(map(self.words.__getitem__, found))
         except KeyError:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
             new = [w for w in set(found) if w not in self.words]
+            if not all(map(PLAIN.fullmatch, new)):
+                return self._whole([text])[0]
+            if len(self.words) > REMEMBERED:
+                self.words = dict(islice(self.words.items(), REMEMBERED // 2))
+                new = [w for w in set(found) if w not in self.words]
             self.words.update(zip(new, self._whole(new), strict=True))
             return b"".join(map(self.words.__getitem__, found))
 

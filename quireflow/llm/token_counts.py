@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk; states that a worker keeps before it compiles anew.
-CHUNK, STATES = 4096, 120_000
+#: Characters of a chunk; states (a kilobyte each, about) and pairs of tokens that a worker keeps before it compiles anew.
+CHUNK, STATES, PAIRS = 4096, 500_000, 400_000
 #: A blank after a non-blank, as the library's pattern sees blanks, among characters on which its and Python's agree.
 RESET = re.compile("[!-~¡-ᙿ][ \t-\r]")
 _ROOT = 0
@@ -109,7 +109,7 @@ class Transducer:
         """Whether token ``b`` may stand after token ``a``."""
         found = self._compatible.get((a, b))
         if found is None:
-            if len(self._compatible) > 4 * STATES:
+            if len(self._compatible) > PAIRS:
                 self._compatible.clear()
             found = self._compatible[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found

@@ -18,7 +18,7 @@ from array import array
 from itertools import islice
 
 #: Words that a worker remembers; beyond it the half that it met last is dropped.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 # White space, letters and numbers, by Unicode category, among the characters up to U+017F without
 # controls, no-break space, soft hyphen and dotted capital I; the contractions of the published word patterns.
@@ -34,6 +34,14 @@ SPACED = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|{CONTRACTIONS}| ?[^{BLANK}{
 LOWER = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|{CONTRACTIONS}|[^{BLANK}{LETTERS}{NUMBERS}]+")
 
 
+_BLANKS = " \t\n\x0b\x0c\r"
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Encodes texts without added special tokens; special strings inside a text are handled as the library does."""
 
@@ -47,12 +55,28 @@ class WordEncoder:
         self.special = [t["content"] for t in config["added_tokens"]]
         self.pattern, self.lower = _known(config)
         self.words: dict[str, bytes] = {}
+        edge = (lambda t: t.endswith("</w>")) if self.lower else (lambda t: t.startswith("Ġ"))
+        self.edges = frozenset(i for t, i in self.library.get_vocab().items() if edge(t))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = (array("I", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
-        if sys.byteorder == "little":
-            return [ids.tobytes() for ids in found]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+        return [_packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, most of them from one text of them all, which is cut where its tokens say that a word begins or ends."""
+        if self.lower:
+            joined, text = words, " ".join(words)
+        else:
+            joined = [w for w in words if w[0] == " " and w[1:2].strip(_BLANKS)]
+            text = "".join(joined)
+        ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        cuts = [i for i, edge in enumerate(map(self.edges.__contains__, ids)) if edge]
+        cuts = [0, *(i + 1 for i in cuts)] if self.lower else [*cuts, len(ids)]
+        if len(cuts) != len(joined) + 1:
+            return dict(zip(words, self._whole(words), strict=True))
+        data = _packed(ids)
+        found = {w: data[4 * a : 4 * b] for w, a, b in zip(joined, cuts, cuts[1:], strict=False)}
+        rest = [w for w in words if w not in found]
+        return found | dict(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -68,7 +92,7 @@ class WordEncoder:
             if len(self.words) > REMEMBERED:
                 self.words = dict(islice(self.words.items(), REMEMBERED // 2))
                 new = [w for w in set(found) if w not in self.words]
-            self.words.update(zip(new, self._whole(new), strict=True))
+            self.words.update(self._each(new))
             return b"".join(map(self.words.__getitem__, found))
 
 

@@ -56,22 +56,23 @@ def fingerprint_pairs(parts: DataFrame, key: list[str], *, samples: int = SAMPLE
     taken where the text lies, and nothing is shuffled.
     """
     words = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), r"[\x20\x09-\x0D]+")
-    split = parts.select(*key, words("common").alias("c"), words("rest").alias("r"), words("other_rest").alias("o"))
-    word = F.posexplode(F.concat("c", "r", "o")).alias("i", "word")
-    rows = split.select(*key, F.size("c").alias("to_c"), (F.size("c") + F.size("r")).alias("to_r"), word)
-    code = F.xxhash64("word").bitwiseAND(F.lit(-(LENGTH_CAP + 1))).bitwiseOR(F.least(F.length("word"), F.lit(LENGTH_CAP)).cast("long"))
+    split = parts.select(*key, words("common").alias("_c"), words("rest").alias("_r"), words("other_rest").alias("_o"))
+    word = F.posexplode(F.concat("_c", "_r", "_o")).alias("_at", "_word")
+    rows = split.select(*key, F.size("_c").alias("_to_c"), (F.size("_c") + F.size("_r")).alias("_to_r"), word)
+    code = F.xxhash64("_word").bitwiseAND(F.lit(-(LENGTH_CAP + 1))).bitwiseOR(F.least(F.length("_word"), F.lit(LENGTH_CAP)).cast("long"))
+    at, to_c, to_r = F.col("_at"), F.col("_to_c"), F.col("_to_r")
     counts = (
-        rows.select(*key, code.alias("term"), (F.col("i") < F.col("to_r")).cast("long").alias("a"), ((F.col("i") < F.col("to_c")) | (F.col("i") >= F.col("to_r"))).cast("long").alias("b"))
-        .groupBy(*key, "term")
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        rows.select(*key, code.alias("_term"), (at < to_r).cast("long").alias("_a"), ((at < to_c) | (at >= to_r)).cast("long").alias("_b"))
+        .groupBy(*key, "_term")
+        .agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     )
-    length = F.col("term").bitwiseAND(LENGTH_CAP).cast("double")
+    length = F.col("_term").bitwiseAND(LENGTH_CAP).cast("double")
     log = lambda n: F.when(F.col(n) * length > 0, F.log(F.col(n) * length * length))
-    terms = counts.select(*key, "term", log("a").alias("ln_a"), log("b").alias("ln_b"))
-    least = [F.min(sample(F.col("term"), F.col(w), k)).alias(f"{w}_{k}") for k in range(samples) for w in ("ln_a", "ln_b")]
+    terms = counts.select(*key, "_term", log("_a").alias("_ln_a"), log("_b").alias("_ln_b"))
+    least = [F.min(sample(F.col("_term"), F.col(w), k)).alias(f"{w}_{k}") for k in range(samples) for w in ("_ln_a", "_ln_b")]
     found = terms.groupBy(*key).agg(*least)
     low = lambda w: F.array(*[F.coalesce(F.col(f"{w}_{k}").bitwiseAND(0xFFFFFFFF), F.lit(-1)) for k in range(samples)])
-    return found.select(*key, low("ln_a").alias("print"), low("ln_b").alias("other_print"))
+    return found.select(*key, low("_ln_a").alias("print"), low("_ln_b").alias("other_print"))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -17,8 +17,8 @@ from .shared import WORD, written
 
 #: Random features, ridge penalty, width of the kernel in standard deviations of all statistics together.
 FEATURES, PENALTY, WIDTH = 384, 1e-3, 0.5
-#: Labelled rows the model is fitted on, at most; the part of them that calibrates it; bins of a calibration curve.
-FIT_ROWS, CALIBRATION_PART, BINS = 200_000, 0.25, 512
+#: Labelled rows the model is fitted on, at most; folds whose scores calibrate it; bins of a calibration curve.
+FIT_ROWS, FOLDS, BINS = 200_000, 4, 512
 #: Documents scored at least this are kept.
 THRESHOLD = 0.3
 
@@ -119,25 +119,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sums(model: Model):
-    """Each partition's Z'Z and Z'y, one row."""
+    """Each partition's Z'Z and Z'y, fold by fold, in one row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = np.zeros((len(model.phases) + 1,) * 2)
-        b = np.zeros(len(model.phases) + 1)
+        n = len(model.phases) + 1
+        sums = np.zeros((FOLDS, n + 1, n))
         for batch in batches:
             if batch.num_rows:
-                z = model.features(_matrix(batch.column("x")))
-                a += z.T @ z
-                b += z.T @ batch.column("y").to_numpy(zero_copy_only=False)
-        yield _packed(a, b)
+                z, y = model.features(_matrix(batch.column("x"))), batch.column("y").to_numpy(zero_copy_only=False)
+                fold = batch.column("fold").to_numpy(zero_copy_only=False)
+                for f in range(FOLDS):
+                    mine = z[fold == f]
+                    sums[f, :n] += mine.T @ mine
+                    sums[f, n] += mine.T @ y[fold == f]
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
     return run
 
 
-def _packed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([np.vstack([a, b]).tobytes()], pa.binary())], ["sums"])
-
-
 def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -148,15 +147,25 @@ def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
 
-def _raw(model: Model):
+def _raw(model: Model, weights: np.ndarray):
+    """Scores of rows by the weights that their fold had no part in."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch.column("x")))), batch.column("y")], ["raw", "y"])
+                raw = model.features(_matrix(batch.column("x"))) @ weights.T
+                fold = batch.column("fold").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(raw[np.arange(len(raw)), fold]), batch.column("y")], ["raw", "y"])
 
     return run
 
 
+def _solved(sums: np.ndarray) -> np.ndarray:
+    """Ridge weights from Z'Z over Z'y; the constant isn't penalised."""
+    a, b = sums[:-1], sums[-1]
+    return np.linalg.solve(a + PENALTY * max(1.0, a[0, 0]) / FEATURES * np.diag([1e-9, *[1.0] * FEATURES]), b)
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that no model may learn from: crc32 of the id as text leaves no rest by 5. A null id isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -167,10 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fit_rows:
 
     At most about ``fit_rows`` labelled ids take part, drawn by a hash; this
     bounds the table of statistics that is fitted on, and is all that is
-    sampled. A quarter of them, by another hash, calibrates the scores and is
-    kept from the regression. Partitions sum their normal equations, the sums
-    are added in tasks of 16, and one matrix reaches the driver, as do the
-    sums of the calibration's bins.
+    sampled. Partitions sum their normal equations by folds, the sums are added
+    in tasks of 16, and one row of matrices reaches the driver. The regression
+    is solved over all folds, and without each; every row's score by the
+    solution without its fold calibrates, in bins whose sums reach the driver.
 
     Several labels of an id are averaged; null labels and ids don't count.
     Without labels, or with equal ones, the score is constant (0.5, or that
@@ -203,20 +212,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fit_rows:
     if not found[0] or found[1] == found[2]:
         return model
 
-    calibrates = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(1000)) < int(CALIBRATION_PART * 1000)
-    sums = written(rows.where(~calibrates).select("y", "x").mapInArrow(_sums(model), "sums binary"), "normal-sums")
+    rows = rows.select("y", "x", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(FOLDS)).cast("int").alias("fold"))
+    sums = written(rows.mapInArrow(_sums(model), "sums binary"), "normal-sums")
     while (parts := sums.rdd.getNumPartitions()) > 1:
         sums = written(sums.coalesce(-(-parts // 16)).mapInArrow(_added, "sums binary"), "normal-sums")
         if parts <= 16:
             break
     total = sum(np.frombuffer(r["sums"]) for r in sums.collect())  # a row for each task that added: one
-    total = total.reshape(FEATURES + 2, FEATURES + 1)
-    a, b = total[:-1], total[-1]
-    model.weights = np.linalg.solve(a + PENALTY * max(1.0, a[0, 0]) / FEATURES * np.diag([0.0, *[1.0] * FEATURES]), b)
-
-    raw = written(rows.where(calibrates).select("y", "x").mapInArrow(_raw(model), "raw double, y double"), "calibration")
-    if raw.isEmpty():
-        raw = written(rows.select("y", "x").mapInArrow(_raw(model), "raw double, y double"), "calibration")
+    folds = total.reshape(FOLDS, FEATURES + 2, FEATURES + 1)
+    total = folds.sum(0)
+    model.weights = _solved(total)
+    without = np.array([_solved(total - fold) for fold in folds])
+    raw = written(rows.mapInArrow(_raw(model, without), "raw double, y double"), "calibration")
     low, high = raw.agg(F.min("raw"), F.max("raw")).first()
     width = max((high - low) / BINS, 1e-12)
     bins = raw.groupBy(F.least(F.floor((F.col("raw") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.avg("raw"), F.avg("y"), F.count("*"))

@@ -18,7 +18,7 @@ from array import array
 from itertools import islice
 
 #: Words that a worker remembers; beyond it the half that it met last is dropped.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 # White space, letters and numbers, by Unicode category, among the characters up to U+017F without
 # controls, no-break space, soft hyphen and dotted capital I; the contractions of the published word patterns.
@@ -83,17 +83,19 @@ class WordEncoder:
         if self.pattern is None or any(s in text for s in self.special):
             return self._whole([text])[0]
         found = self.pattern.findall(text.lower() if self.lower else text)
-        try:
-            return b"".join(map(self.words.__getitem__, found))
-        except KeyError:
-            new = [w for w in set(found) if w not in self.words]
+        ids = list(map(self.words.get, found))
+        if None in ids:
+            at = [i for i, known in enumerate(ids) if known is None]
+            new = list(dict.fromkeys(found[i] for i in at))
             if not all(map(PLAIN.fullmatch, new)):
                 return self._whole([text])[0]
+            known = self._each(new)
             if len(self.words) > REMEMBERED:
                 self.words = dict(islice(self.words.items(), REMEMBERED // 2))
-                new = [w for w in set(found) if w not in self.words]
-            self.words.update(self._each(new))
-            return b"".join(map(self.words.__getitem__, found))
+            self.words.update(known)
+            for i in at:
+                ids[i] = known[found[i]]
+        return b"".join(ids)
 
 
 def _known(config: dict) -> tuple[re.Pattern | None, bool]:

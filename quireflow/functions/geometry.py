@@ -26,6 +26,11 @@ def box(left: Column, right: Column, top: Column, bottom: Column) -> Column:
     return F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"), top.cast("int").alias("top"), bottom.cast("int").alias("bottom"))
 
 
+def chosen_table(template: Column, ruled: Column) -> Column:
+    """A layout's own table (x, y, width, height), or the one found by rules where that has no area. [GEO3]"""
+    return F.when((template["width"] > 0) & (template["height"] > 0), template).otherwise(ruled)
+
+
 def clipped(left: Column, right: Column, top: Column, bottom: Column, width: Column, height: Column) -> Column:
     """A box inside an image, a pixel wide and high at least. [GEO6]"""
     x0, y0 = F.least(F.greatest(F.lit(0), left), width - 1), F.least(F.greatest(F.lit(0), top), height - 1)

@@ -24,6 +24,11 @@ def decoded(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return image[:, :, 0] if channels == 1 else image[:, :, :3]
 
 
+def crop(image: np.ndarray, x: int, y: int, width: int, height: int) -> np.ndarray:
+    """[GEO4]"""
+    return image[y : y + height, x : x + width]
+
+
 def gray(image: np.ndarray) -> np.ndarray:
     """[IMG1]"""
     if image.ndim == 2:

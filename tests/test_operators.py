@@ -1,8 +1,10 @@
 """Operators and plans on pages whose layout is known."""
 
+import base64
 import io
 import json
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 from quireflow.operators import cells, choose, compare, grid, images, rasters, records, review, windows
 from quireflow.plans import imports, spread
 from quireflow.schema import OUTPUT_COLUMNS
-from quireflow.sources import articles, files, layouts
+from quireflow.functions.geometry import chosen_table
+from quireflow.sources import artefacts, articles, files, layouts
 from quireflow.streaming import folder
 
 
@@ -246,3 +249,53 @@ def test_dropped_files_become_records(spark, tmp_path):
     job = lambda df: records.output(spread.extract(df.drop("page_id"), pages))
     folder.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), job).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 46
+
+
+def png_pixels(data):
+    """Height, width and pixels (red, green, blue or gray) of a PNG file of unfiltered lines."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, {}
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        chunks[kind] = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + chunks[kind]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        at += 12 + n
+    width, height = (int.from_bytes(chunks[b"IHDR"][i : i + 4], "big") for i in (0, 4))
+    lines = np.frombuffer(zlib.decompress(chunks[b"IDAT"]), np.uint8).reshape(height, -1)
+    assert not lines[:, 0].any()
+    return lines[:, 1:].reshape((height, width, 3) if chunks[b"IHDR"][9] == 2 else (height, width))
+
+
+def test_png_holds_the_pixels(spark):
+    page = rasters.raster(9, 4)
+    assert (png_pixels(artefacts.png(page)) == page).all()
+    colour = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    assert (png_pixels(artefacts.png(colour)) == colour[:, :, ::-1]).all()
+    with pytest.raises(ValueError):
+        artefacts.png(np.zeros((0, 3), np.uint8))
+    got = artefacts.as_png(rasters.drawn(spark.createDataFrame([(9, 4)], "number int, size int"))).first()
+    assert (png_pixels(bytes(got["png"])) == page).all() and base64.b64decode(got["base64"]) == bytes(got["png"])
+    assert images.crop(page, 4, 10, 3, 2).tolist() == page[10:12, 4:7].tolist()
+
+
+def test_overlays_are_written(spark, tmp_path):
+    pages = rasters.drawn(spark.createDataFrame([(1, 1), (2, 2)], "number int, size int"))
+    key = ["origin"]
+    tables = spark.createDataFrame([("part-1", 5, 6, 20, 10)], "origin string, x int, y int, width int, height int")
+    sizes = spark.createDataFrame([("part-1", 64, 48)], "origin string, width int, height int")
+    rows = artefacts.on_page(spark.createDataFrame([("part-1", 3, 0, 100)], "origin string, row_no int, top int, bottom int"), tables, key)
+    columns = artefacts.on_page(spark.createDataFrame([("part-1", "unit", 2, 9)], "origin string, field string, left int, right int"), tables, key)
+    lines = artefacts.grid_lines(rows, columns, sizes, key)
+    assert {tuple(r)[1:] for r in lines.collect()} == {("row", "3", 0, 6, 64, 6), ("row", "3", 0, 106, 64, 106), ("column", "unit", 7, 0, 7, 48), ("column", "unit", 14, 0, 14, 48)}
+    drawn = artefacts.overlays(pages, lines.unionAll(artefacts.table_lines(tables, key)))
+    artefacts.write_pngs(drawn.withColumn("name", F.concat(F.lit("debug/"), "origin", F.lit(".png"))), f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out/debug").iterdir()) == ["part-1.png", "part-2.png"]
+    one, two = (png_pixels((tmp_path / f"out/debug/part-{i}.png").read_bytes()) for i in (1, 2))
+    assert one.shape == (48, 64, 3) and one[6, 40].tolist() == [0, 255, 0] and one[40, 7].tolist() == [0, 0, 255] and one[12, 25].tolist() == [255, 0, 0]
+    assert (two == rasters.raster(2, 2)[:, :, None]).all()
+
+
+def test_template_table_comes_first(spark):
+    box = "struct<x:int,y:int,width:int,height:int>"
+    got = spark.createDataFrame([((1, 1, 5, 5), (2, 2, 6, 6)), ((1, 1, 0, 5), (2, 2, 6, 6)), (None, (3, 3, 7, 7))], f"t {box}, r {box}").select(chosen_table(F.col("t"), F.col("r")).alias("b"))
+    assert [r["b"]["x"] for r in got.collect()] == [1, 2, 3]

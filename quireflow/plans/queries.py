@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers, scoring, similarity, text
 from ..operators import cells, choose, compare, grid, images, records, review, windows
+from ..sources import artefacts
 from ..sources.articles import KNOWN_ARTICLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -646,6 +647,41 @@ def q40_ruled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.ruled_centres(peaks, pages, ["page"]).select("page", "row_no", F.round("centre", 6).alias("centre"))
 
 
+@registered(
+    """WITH t AS (SELECT p_partkey AS page, CASE WHEN p_partkey % 4 > 0 THEN p_size ELSE 7 END AS x, CASE WHEN p_partkey % 4 > 0 THEN 20 ELSE 9 END AS y,
+  CASE WHEN p_partkey % 4 > 0 THEN 500 + p_size ELSE 600 END AS width, CASE WHEN p_partkey % 4 > 0 THEN 800 ELSE 700 END AS height FROM part),
+h AS (SELECT page, 'row' AS kind, n::VARCHAR AS label, 0 AS x0, y + 15 * n + e AS y0, 1000 AS x1, y + 15 * n + e AS y1 FROM t, (SELECT unnest(range(1, 4)) AS n), (SELECT unnest([0, 14]) AS e)),
+v AS (SELECT page, 'column' AS kind, label, x + floor(width * r)::INT AS x0, 0 AS y0, x + floor(width * r)::INT AS x1, 1200 AS y1
+  FROM t, (VALUES ('article', 0.125::DOUBLE), ('article', 0.5::DOUBLE), ('unit', 0.5::DOUBLE), ('unit', 0.75::DOUBLE)) c(label, r)),
+b AS (SELECT page, 'table' AS kind, 'table' AS label, x AS x0, y + height * e AS y0, x + width AS x1, y + height * e AS y1 FROM t, (SELECT unnest([0, 1]) AS e)
+  UNION ALL SELECT page, 'table', 'table', x + width * e, y, x + width * e, y + height FROM t, (SELECT unnest([0, 1]) AS e))
+SELECT page, kind, label, x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1 FROM (SELECT * FROM h UNION ALL SELECT * FROM v UNION ALL SELECT * FROM b)"""
+)
+def q41_grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every page's table, rows and columns, moved from the table to the page. [SNK9, SNK10, GEO2, GEO3]"""
+    box = lambda x, y, w, h: F.struct(F.lit(x).cast("int").alias("x"), F.lit(y).alias("y"), F.lit(w).cast("int").alias("width"), F.lit(h).alias("height"))
+    ruled = box(7, 9, 600, 700)
+    template = F.when(F.col("p_partkey") % 4 > 0, box(F.col("p_size"), 20, F.col("p_size") + 500, 800)).otherwise(box(0, 0, 0, 0))
+    tables = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), geometry.chosen_table(template, ruled).alias("t")).select("page", "t.*")
+    pages = tables.select("page", F.lit(1000).alias("width"), F.lit(1200).alias("height"))
+    rows = tables.select("page", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("row_no")).selectExpr("page", "row_no", "15 * row_no AS top", "15 * row_no + 14 AS bottom")
+    bounds = [F.struct(F.lit(f).alias("field"), *[geometry.share(F.col("width"), r).alias(n) for n, r in (("left", a), ("right", b))]) for f, a, b in (("article", 0.125, 0.5), ("unit", 0.5, 0.75))]
+    columns = tables.select("page", F.inline(F.array(*bounds)))
+    lines = artefacts.grid_lines(artefacts.on_page(rows, tables, ["page"]), artefacts.on_page(columns, tables, ["page"]), pages, ["page"])
+    return lines.unionAll(artefacts.table_lines(tables, ["page"]))
+
+
+@registered()
+def q42_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages drawn from rows as PNG files with a line for each part's size over them, by their digests. [SNK8, SNK9, IMG16]"""
+    from ..operators.rasters import drawn
+
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    at = F.col("p_size") % 48
+    lines = parts.select(F.concat(F.lit("part-"), "p_partkey").alias("origin"), F.lit("row").alias("kind"), F.lit("").alias("label"), F.lit(0).alias("x0"), at.alias("y0"), F.lit(64).alias("x1"), at.alias("y1"))
+    return artefacts.overlays(drawn(parts), lines).select("origin", F.sha2("png", 256).alias("png_sha256"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy rows cleaned, filled, flagged and counted: the way of a table from reading to review."""
     w = Window.partitionBy("spread").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")

@@ -1,10 +1,14 @@
 """Every registered table query against its SQL, and what has none against what it must hold."""
 
+import hashlib
+
 import duckdb
 import pytest
 
 import __spark_entry__
+from quireflow.operators import rasters
 from quireflow.plans import queries
+from quireflow.sources import artefacts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,6 +59,15 @@ def test_kernels_see_ink(spark):
     assert got["part-0"]["x"] >= 30 and got["part-0"]["y"] >= 50
 
 
+def test_overlays_show_a_line_each(spark):
+    got = {r["origin"]: r["png_sha256"] for r in queries.QUERIES["q42_overlays"](spark, SF).collect()}
+    parts = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size").collect()
+    assert len(got) == len(parts)
+    for key, size in parts[:5]:
+        line = {"kind": "row", "x0": 0, "y0": size % 48, "x1": 64, "y1": size % 48}
+        assert got[f"part-{key}"] == hashlib.sha256(artefacts.png(artefacts.drawn_over(rasters.raster(key, size), [line]))).hexdigest()
+
+
 def test_llm_part_can_be_missing():
     """The entry's guard passes over a missing subpackage only."""
     source = open(__spark_entry__.__file__, encoding="utf-8").read()

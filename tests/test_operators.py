@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quireflow.operators import cells, choose, compare, grid, images, rasters, records, review, windows
+from quireflow.operators import cells, choose, compare, engines, grid, images, rasters, records, review, windows
 from quireflow.plans import imports, spread
 from quireflow.schema import OUTPUT_COLUMNS
 from quireflow.functions.geometry import chosen_table
@@ -299,3 +299,70 @@ def test_template_table_comes_first(spark):
     box = "struct<x:int,y:int,width:int,height:int>"
     got = spark.createDataFrame([((1, 1, 5, 5), (2, 2, 6, 6)), ((1, 1, 0, 5), (2, 2, 6, 6)), (None, (3, 3, 7, 7))], f"t {box}, r {box}").select(chosen_table(F.col("t"), F.col("r")).alias("b"))
     assert [r["b"]["x"] for r in got.collect()] == [1, 2, 3]
+
+
+def pages_of_engines(spark):
+    return rasters.drawn(spark.createDataFrame([(1, 1), (2, 2)], "number int, size int")).select("image.*")
+
+
+def test_pages_take_an_engine_s_tokens(spark):
+    def first():
+        return lambda image: iter([("a", 0.9, 1, 2, 3, 4)] * (2 if set(np.unique(image)) <= {0, 255} else 0))
+
+    def second():
+        return lambda image: [("b", 0.8, *engines.box_of([(1, 5), (4, 2)]))] * int(2 + (image[14:18, 12:17] < 100).any())
+
+    def broken():
+        raise OSError("not installed")
+
+    key = ["origin"]
+    got = engines.page_tokens(pages_of_engines(spark), {"tesseract": first, "paddle": second}, key).cache()
+    assert got.where("engine = 'tesseract'").count() == 4
+    b = got.where("engine = 'paddle'").first()
+    assert (b["x"], b["y"], b["width"], b["height"]) == (1, 2, 3, 3)
+    assert {r["engine"] for r in engines.chosen_tokens(got, key).collect()} == {"paddle"}
+    alone = engines.page_tokens(pages_of_engines(spark), {"tesseract": first, "paddle": broken}, key)
+    for backend in ("auto", "paddle", "tesseract"):
+        assert [r["engine"] for r in engines.chosen_tokens(alone, key, backend).collect()] == ["tesseract"] * 4
+    got.unpersist()
+
+
+def test_cells_are_read_by_kind(spark):
+    def first():
+        return lambda image, setting: ("12" if "whitelist" in setting else "Cofee", 0.5)
+
+    def second():
+        return lambda image, setting: ("12", 0.7)
+
+    def once():
+        asked = []
+
+        def read(image, setting):
+            asked.append(setting)
+            if len(asked) > 1:
+                raise AssertionError("asked again after it failed")
+            raise OSError("no server")
+
+        return read
+
+    keys = ["origin", "field"]
+    crops = pages_of_engines(spark).coalesce(1).withColumn("field", F.explode(F.array(*map(F.lit, ("total_value", "article", "remarks")))))
+    crops = crops.unionAll(crops.limit(1).withColumns({"origin": F.lit("blank"), "height": F.lit(0), "width": F.lit(0), "data": F.lit(b"")}))
+    got = engines.cell_readings(crops, {"tesseract": first, "paddle": second, "glm": once}, keys).cache()
+    by_field = {r["field"]: r["engines"] for r in got.where("origin = 'part-1'").groupBy("field").agg(F.collect_list("engine").alias("engines")).collect()}
+    assert sorted(by_field["total_value"]) == ["paddle", "tesseract"] and all(e.startswith("tesseract:") for e in by_field["remarks"])
+    assert len(by_field["remarks"]) == len(images.cell_variants(rasters.raster(1, 1), "remarks")) * len(engines.settings("remarks"))
+    chosen = {(r["origin"], r["field"]): r for r in engines.chosen_readings(got, crops, keys, ["Coffee"]).collect()}
+    assert len(chosen) == 7 and chosen["part-1", "total_value"]["cell_text"] == "12" and chosen["part-1", "total_value"]["cell_confidence"] == 1.0
+    assert chosen["part-2", "article"]["cell_text"] == "Coffee" and chosen["part-1", "remarks"]["cell_text"] == "Cofee"
+    blank = next(r for k, r in chosen.items() if k[0] == "blank")
+    assert (blank["cell_text"], blank["cell_confidence"], blank["cell_engine"]) == ("", None, "none")
+    got.unpersist()
+
+
+def test_vision_request_and_breaker():
+    body = json.loads(engines.vision_request(b"png", "total_value", "m"))
+    assert base64.b64decode(body["images"][0]) == b"png" and body["options"]["num_predict"] == 128 and not body["stream"]
+    made = []
+    task = engines.Engines({"bad": lambda: made.append(1) or (lambda: 1 / 0), "good": lambda: lambda: "x"})
+    assert [task.ask("bad"), task.ask("bad"), task.ask("good")] == [None, None, "x"] and made == [1]

@@ -1,8 +1,10 @@
 """Operators and plans on pages whose layout is known."""
 
 import base64
+import http.server
 import io
 import json
+import threading
 import zipfile
 import zlib
 
@@ -366,3 +368,27 @@ def test_vision_request_and_breaker():
     made = []
     task = engines.Engines({"bad": lambda: made.append(1) or (lambda: 1 / 0), "good": lambda: lambda: "x"})
     assert [task.ask("bad"), task.ask("bad"), task.ask("good")] == [None, None, "x"] and made == [1]
+
+
+def test_vision_client_posts_and_breaks():
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = json.dumps({"response": f" {body['model']} \n"}).encode()
+            self.send_response(200 if body["model"] == "m" else 500)
+            self.send_header("Content-Length", str(len(said)))
+            self.end_headers()
+            self.wfile.write(said)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        task = engines.Engines({"glm": lambda: engines.vision_client(f"http://127.0.0.1:{server.server_port}/")})
+        assert task.ask("glm", engines.vision_request(b"png", "article", "m")) == "m"
+        assert task.ask("glm", engines.vision_request(b"png", "article", "other")) is None and task.failed == {"glm"}
+    finally:
+        server.shutdown()
+        server.server_close()

@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated runs of lines; documents that go whole are left out. n_chars follows the text."""
-    kept = line_dedup.drop_repeated_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    """Texts without their repeated runs of lines, extended word by word; documents that go whole are left out. n_chars follows the text."""
+    kept = line_dedup.drop_repeated_lines(docs, extend=True).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", chars).select(*COLUMNS)
 

@@ -69,7 +69,83 @@ def windows_of(text: Column, min_words: int) -> Column:
     return let(lines, found)
 
 
-def drop_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def _placed(text: Column, body) -> Column:
+    """``body(words, lines)`` for a text's words and its non-blank lines: i, h, w and at, the place of its first word."""
+    entry = lambda line, i: F.struct(i.alias("i"), F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(WORD)).alias("w"))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), entry), lambda line: line["w"] > 0)
+    # a word that is the first of its line tells the line's place
+    ranks = lambda lines: F.flatten(F.transform(lines, lambda line: F.sequence(F.lit(1), line["w"])))
+    places = lambda lines: F.filter(F.transform(ranks(lines), lambda rank, at: F.when(rank == 1, at)), lambda at: at.isNotNull())
+    entry_at = lambda line, at: F.struct(line["i"].alias("i"), line["h"].alias("h"), line["w"].alias("w"), at.alias("at"))
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
+    return let(words, lambda words: let(let(lines, lambda lines: F.zip_with(lines, places(lines), entry_at)), lambda lines: body(words, lines)))
+
+
+def sides_of(text: Column, min_words: int) -> Column:
+    """The lines of fewer than ``min_words`` words with what stands beside them: array of i, sides.
+
+    A passage of ``min_words`` words around a line of w reaches half of what w
+    lacks at least, to one side. A side hashes the line and so many words
+    before or after it; it is null where the text ends sooner.
+    """
+
+    def found(words: Column, lines: Column) -> Column:
+        half = lambda line: F.ceil((min_words - line["w"]) / 2).cast("int")
+        reach = lambda line: F.slice(words, line["at"] + 1, line["w"] + half(line))
+        after = lambda line: F.when(line["at"] + line["w"] + half(line) <= F.size(words), F.xxhash64(F.lit("after"), line["h"], reach(line)))
+        before = lambda line: F.when(line["at"] >= half(line), F.xxhash64(F.lit("before"), line["h"], F.slice(words, F.greatest(line["at"] - half(line), F.lit(0)) + 1, half(line))))
+        return F.transform(F.filter(lines, lambda line: line["w"] < min_words), lambda line: F.struct(line["i"].alias("i"), F.array(before(line), after(line)).alias("sides")))
+
+    return _placed(text, found)
+
+
+def passages_of(text: Column, anchors: Column, min_words: int) -> Column:
+    """The passages of ``min_words`` words over each of the lines numbered in ``anchors``: array of i, a, b, wh, wg.
+
+    wh and wg hash the words, the line's place among them and the line itself;
+    a and b are the first and last line that lie whole in the passage.
+    """
+
+    def found(words: Column, lines: Column) -> Column:
+        def over(line: Column, n: Column) -> Column:
+            first, last = F.greatest(line["at"] + line["w"] - min_words, F.lit(0)), F.least(line["at"], F.size(words) - min_words)
+            # a line holds a word at least, so a passage meets min_words lines at most
+            near = F.slice(lines, F.greatest(n - min_words, F.lit(0)) + 1, 2 * min_words + 1)
+
+            def passage(near: Column, s: Column) -> Column:
+                whole = F.filter(near, lambda x: (x["at"] >= s) & (x["at"] + x["w"] <= s + min_words))
+                return let(
+                    F.struct(whole.alias("whole"), F.slice(words, s + 1, min_words).alias("words")),
+                    lambda x: F.struct(
+                        line["i"].alias("i"),
+                        F.element_at(x["whole"], 1)["i"].alias("a"),
+                        F.element_at(x["whole"], -1)["i"].alias("b"),
+                        F.xxhash64(line["h"], line["at"] - s, x["words"]).alias("wh"),
+                        F.xxhash64(F.lit(7), line["at"] - s, line["h"], x["words"]).alias("wg"),
+                    ),
+                )
+
+            return F.when(F.array_contains(anchors, line["i"]) & (first <= last), let(near, lambda near: F.transform(F.sequence(first, last), lambda s: passage(near, s))))
+
+        return F.flatten(F.filter(F.transform(lines, over), lambda x: x.isNotNull()))
+
+    return _placed(text, found)
+
+
+def _extended(rows: DataFrame, min_words: int) -> DataFrame:
+    """The passages over lines that stand elsewhere too with the same words on one side: wh, wg, here, a, b."""
+    sides = rows.select("doc_id", "k", F.inline(sides_of(F.col("text"), min_words))).select("doc_id", "k", "i", F.explode("sides").alias("side")).where("side is not null")
+    sides = written(sides, "line-sides")
+    place = F.xxhash64("doc_id", "k", "i")
+    again = sides.groupBy("side").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("side")
+    anchors = sides.join(again, "side", "left_semi").groupBy("doc_id", "k").agg(F.collect_set("i").alias("anchors"))
+    anchors = anchors.withColumnsRenamed({"doc_id": "anchor_id", "k": "anchor_k"})
+    texts = rows.join(anchors, F.col("doc_id").eqNullSafe(F.col("anchor_id")) & F.col("k").eqNullSafe(F.col("anchor_k")))
+    found = texts.select("doc_id", "k", F.inline(passages_of(F.col("text"), F.col("anchors"), min_words)))
+    return written(found.select("wh", "wg", F.struct("doc_id", "k", F.col("i").alias("a")).alias("here"), "a", "b"), "line-passages")
+
+
+def drop_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """Delete from ``text`` each run of lines that stood earlier in the corpus.
 
     A line goes if it lies in a run of consecutive lines of ``min_words`` words
@@ -85,6 +161,14 @@ def drop_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataF
     matched fingerprint take part, which extends a match both ways to the ends
     of the run.
 
+    With ``extend``, runs also go on word by word into the lines around them:
+    a line goes, however short, if it lies whole in a passage of ``min_words``
+    words, across line ends, that also stands at an earlier place, and the
+    passage holds a line that is whole at both places and agrees in every
+    character. Lines that such a passage only begins or ends in stay. Lines
+    that repeat with the same words on one side are the positions; each match
+    is again joined on the passage's content.
+
     Returns the input's columns with the text that remains, and n_lines,
     n_removed (input columns of these names are replaced). Rows of one doc_id
     and text count as one document and keep the same lines. A null text stays
@@ -100,13 +184,15 @@ def drop_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataF
         "line-windows",
     )
     again = windows.groupBy("fp").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("fp")
-    matched = written(windows.join(again, "fp", "left_semi").select("wh", "wg", F.struct("doc_id", "k", "a").alias("here"), "b"), "line-matches")
+    matched = written(windows.join(again, "fp", "left_semi").select("wh", "wg", F.struct("doc_id", "k", "a").alias("here"), "b"), "line-matches").select("wh", "wg", "here", "here.a", "b")
+    if extend:
+        matched = matched.unionAll(_extended(rows.select("doc_id", "k", "text"), min_words))
     first = matched.groupBy("wh", "wg").agg(F.min("here").alias("first"), F.max("here").alias("last")).where("first <> last").select("wh", "wg", "first")
     gone = (
         matched.join(first, ["wh", "wg"])
         .where("here > first")
         .groupBy("here.doc_id", "here.k")
-        .agg(F.collect_set(F.struct("here.a", "b")).alias("runs"))
+        .agg(F.collect_set(F.struct("a", "b")).alias("runs"))
         .select(
             F.col("doc_id").alias("gone_id"),
             F.col("k").alias("gone_k"),

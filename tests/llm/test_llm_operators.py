@@ -411,6 +411,74 @@ def test_planted_passages_go_and_clean_documents_stay(spark):
     assert all(passage not in got[i]["text"] and got[i]["n_removed"] == 2 for i, _ in planted[1:])
 
 
+def brute_passages(table, least):
+    """Lines that ``brute_lines`` finds, or that lie whole in a passage of ``least`` words around a shared line, by looking at every passage."""
+    docs, seen, gone = sorted(((d, t) for d, t in table if t is not None), key=lambda r: (r[0] is not None, r[0] or 0)), set(), {}
+    kept = brute_lines([{"doc_id": d, "text": t} for d, t in docs], least)
+    for doc_id, text in docs:
+        lines, words = [(i, x) for i, x in enumerate(text.split("\n")) if x.split()], text.split()
+        at = list(itertools.accumulate([len(x.split()) for _, x in lines], initial=0))
+        for n, (_, line) in enumerate(lines):
+            new = set()
+            for s in range(max(0, at[n + 1] - least), min(at[n], len(words) - least) + 1):
+                key = (line, at[n] - s, tuple(words[s : s + least]))
+                if key in seen:
+                    whole = [lines[m][0] for m in range(len(lines)) if at[m] >= s and at[m + 1] <= s + least]
+                    gone.setdefault(doc_id, set()).update(range(whole[0], whole[-1] + 1))
+                new.add(key)
+            seen |= new
+    out = {}
+    for (has_id, doc_id, text), left in kept.items():
+        # what stays of lines alone, then without the lines of passages
+        lines, rest = text.split("\n"), iter(left.split("\n"))
+        line, stays = next(rest, None), []
+        for i, x in enumerate(lines):
+            if x == line:
+                stays += [] if i in gone.get(doc_id if has_id else None, ()) else [x]
+                line = next(rest, None)
+        out[doc_id if has_id else None] = "\n".join(stays)
+    return out
+
+
+def test_extended_runs_by_brute_force(spark):
+    rng = random.Random(18)
+    pool = [[" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(9)] for _ in range(6)]
+    # whole runs of a pool's lines, whose first and last lines go on in other ways
+    table = []
+    for i in range(80):
+        run = rng.choice(pool)
+        a = rng.randrange(6)
+        lines = run[a : a + rng.randrange(2, 4)]
+        lines[0], lines[-1] = f"x{i} {lines[0]}" if rng.random() < 0.7 else lines[0], f"{lines[-1]} y{i}" if rng.random() < 0.7 else lines[-1]
+        table.append((i, "\n".join([f"s{i}", *lines, f"t{i}"])))
+    table += [(None, "\n".join(pool[0])), (81, None), (82, "")]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    want = brute_passages(table, 9)
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(frame, min_words=9, extend=True).collect()}
+    plain = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(frame, min_words=9).collect()}
+    assert len(got) == len(table)
+    assert all(got[d]["text"] == (None if t is None else want[d]) for d, t in table)
+    assert all(got[d]["n_removed"] >= plain[d]["n_removed"] for d, _ in table)
+    assert sum(r["n_removed"] for r in got.values()) > sum(r["n_removed"] for r in plain.values()) + 10
+
+
+def test_passages_that_begin_and_end_inside_lines(spark):
+    word = iter(f"w{i}" for i in range(100_000))
+    fresh = lambda n: " ".join(next(word) for _ in range(n))
+    head, line, tail = fresh(20), fresh(14), fresh(20)
+    table = [(i, f"{fresh(9)}\n{fresh(7)} {head}\n{line}\n{tail} {fresh(6)}\n{fresh(9)}") for i in range(4)]
+    short = [(i, f"{fresh(7)} {head}\n{line}\n{fresh(30)}") for i in range(4, 6)]  # 34 shared words
+    frame = spark.createDataFrame(table + short, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(frame, extend=True).collect()}
+    assert [got[i]["n_removed"] for i in range(6)] == [0, 1, 1, 1, 0, 0] and all(line not in got[i]["text"] for i in (1, 2, 3))
+
+
+def test_extended_runs_of_messy_rows(messy, empty):
+    got = line_dedup.drop_repeated_lines(messy, extend=True)
+    assert got.count() == len(MESSY) and got.where("text is null").count() == 2 and got.agg(F.sum("n_removed")).first()[0] == 0
+    assert line_dedup.drop_repeated_lines(empty, extend=True).count() == 0
+
+
 # quality
 
 

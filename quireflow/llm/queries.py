@@ -22,10 +22,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.uniform_shards(table(spark, sf_dir, "documents"), 16)
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    dealt = sharding.uniform_shards(docs, 16)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    return dealt.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:

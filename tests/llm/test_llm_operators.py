@@ -202,6 +202,20 @@ def test_shards_of_messy_rows(messy, empty):
     assert sorted(r["count"] for r in sharding.uniform_shards(twice, 3).groupBy("shard").count().collect()) == [11, 11, 11]
 
 
+def test_op3_deals_whole_documents(spark, monkeypatch):
+    deal = sharding.uniform_shards
+
+    def changed(df, shards):
+        assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(df.columns)
+        return deal(df, shards).withColumn("text", F.upper("text"))
+
+    monkeypatch.setattr(sharding, "uniform_shards", changed)
+    found = texts_of(spark.read.parquet(f"{SF}/documents.parquet"))
+    for r in queries.op3_uniform_shards(spark, SF).collect():
+        text = (found[r["doc_id"]] or "").upper().encode()
+        assert (r["size"], r["text_crc32"]) == (len(text) + 1, zlib.crc32(text))
+
+
 # media
 
 

@@ -16,6 +16,8 @@ from .tokenization import encoder
 
 #: Items that are packed together, at most.
 TOGETHER = 100_000
+#: Bytes of ids from which on a task packs what it holds, where the ids go along.
+HELD_BYTES = 64 << 20
 
 
 def best_fit(sizes: np.ndarray, limit: int) -> np.ndarray:
@@ -61,6 +63,7 @@ def _pieces(path: str, end_id: int, limit: int, with_ids: bool):
         encode, base = encoder(path).encode, TaskContext.get().partitionId() << 32
         end = np.asarray([end_id], dtype="<u4").tobytes()
         columns: list[list] = [[] for _ in range(6)]
+        held = 0
 
         def packed() -> pa.RecordBatch:
             nonlocal base
@@ -82,10 +85,12 @@ def _pieces(path: str, end_id: int, limit: int, with_ids: bool):
                 data = encode(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(data), 4 * limit)):
                     part = data[at : at + 4 * limit]
+                    held += len(part) if with_ids else 0
                     for c, value in zip(columns, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
                         c.append(value)
-                if len(columns[0]) >= TOGETHER:
+                if len(columns[0]) >= TOGETHER or held >= HELD_BYTES:
                     yield packed()
+                    held = 0
         if columns[0]:
             yield packed()
 
@@ -122,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, limit: int = 2048, end_id
     A document is the ids of its text (null: empty) by the vocabulary file
     ``tokenizer`` and ``end_id``; only longer ones are cut, every ``limit``
     tokens. Each partition packs its pieces by best fit, ``TOGETHER`` at a
-    time. Sequences that lack more than ``slack`` tokens (a 128th of the limit)
+    time (or ``HELD_BYTES`` of ids). Sequences that lack more than ``slack`` tokens (a 128th of the limit)
     become items of the next round, in which fewer tasks pack them together;
     rounds go on until one task has seen all that are left, or a round joins
     none. So a task never holds more than ``TOGETHER`` items.

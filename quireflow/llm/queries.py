@@ -34,7 +34,8 @@ def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

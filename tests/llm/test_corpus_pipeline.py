@@ -1,6 +1,10 @@
 """The corpus pipeline: each stage on its predecessor's output, held against brute force on a small table."""
 
+import zlib
+
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quireflow.llm import near_dedup
@@ -61,3 +65,10 @@ def test_pieces_cover_the_mix(spark, stages):
     pieces = stages[5]
     assert pieces.where("piece = 0").count() == stages[4].count()
     assert corpus_pipeline.run(spark, SF).count() == pieces.count()
+
+
+def test_sequences_hold_the_mix_s_tokens(stages):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sum(len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in stages[4].collect())
+    got = stages[5].collect()
+    assert sum(len(r["ids"]) for r in got) == 4 * want and all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)

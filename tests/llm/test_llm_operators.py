@@ -371,6 +371,43 @@ def test_sequences_are_whole_and_few(docs, messy, empty, monkeypatch):
     assert many <= bins * 1.15 + 1
 
 
+def sequences_of(rows):
+    """The ids of each sequence, put together from the rows' places."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        ids = out.setdefault(r["sequence_id"], bytearray())
+        assert len(ids) == 4 * r["offset"] and len(r["ids"]) == 4 * r["length"]
+        ids += r["ids"]
+    return out
+
+
+def test_placed_ids_make_sequences_and_documents(docs, messy):
+    library = Tokenizer.from_file(WORDS)
+    for table, limit in ((docs, 2048), (messy, 64)):
+        got = packing.pack_documents(table, WORDS, limit=limit, with_ids=True).collect()
+        packed_right(got, table, limit)
+        sequences = sequences_of(got)
+        assert all(len(ids) <= 4 * limit for ids in sequences.values()) and all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
+        if table is docs:
+            for doc_id, text in texts_of(docs).items():
+                pieces = sorted((r["piece"], r["sequence_id"], r["offset"], r["length"]) for r in got if r["doc_id"] == doc_id)
+                ids = b"".join(bytes(sequences[s][4 * o : 4 * (o + n)]) for _, s, o, n in pieces)
+                assert ids == np.asarray([*library.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
+
+
+def test_op5_digests_placed_ids(spark, monkeypatch):
+    pack, seen = packing.pack_documents, []
+
+    def changed(docs, tokenizer, **options):
+        seen.append(options.get("with_ids"))
+        return pack(docs, tokenizer, **options).withColumn("ids", F.encode(F.lit("placed"), "utf-8"))
+
+    monkeypatch.setattr(packing, "pack_documents", changed)
+    got = queries.op5_pack_sequences(spark, SF)
+    assert seen == [True] and got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert {r["ids_crc32"] for r in got.collect()} == {zlib.crc32(b"placed")}
+
+
 # line dedup
 
 

@@ -586,7 +586,7 @@ def q35_spine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def q36_image_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kernels over rasters drawn from rows: each part is a small page with a rule and its number as ink. [IMG1-IMG20]"""
+    """Kernels over rasters drawn from rows: each part is a small page with a rule and its number as ink. Ink, cell features and rule profiles only. [IMG5, IMG13, IMG19, IMG20]"""
     from ..operators.rasters import drawn
 
     pages = drawn(_t(spark, sf_dir, "part").select("p_partkey", "p_size"))

@@ -575,7 +575,7 @@ def test_isotonic_by_brute_force():
 
 def brute_classes(table):
     texts = sorted({t if t is not None else "" for _, t in table})
-    grams = [near_dedup.kmers(near_dedup.words_of(t)) for t in texts]
+    words = [near_dedup.words_of(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(i):
@@ -584,9 +584,8 @@ def brute_classes(table):
         return i
 
     for i, j in itertools.combinations(range(len(texts)), 2):
-        a, b = grams[i], grams[j]
-        same = texts[i].split() == texts[j].split()
-        if same or (min(len(a), len(b)) >= near_dedup.least_common(len(a), len(b)) and len({*a.tolist()} & {*b.tolist()}) and aligned(a, b)):
+        a, b = words[i], words[j]
+        if a == b or (abs(len(a) - len(b)) <= 0.1 * max(len(a), len(b)) and aligned(a, b)):
             root[find(j)] = find(i)
     where = {t: find(i) for i, t in enumerate(texts)}
     least = {}
@@ -597,16 +596,19 @@ def brute_classes(table):
     return [least.get(where[t or ""]) for _, t in table]
 
 
-def aligned(a, b):
-    """Whether the whole table of common subsequences says that two sequences are similar."""
-    a, b = a.tolist(), b.tolist()
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
+def distance(a, b):
+    """The edit distance, by its whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
         for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
         row = new
-    return row[-1] / (len(a) + len(b) - row[-1]) >= near_dedup.SIMILARITY - 1e-12
+    return row[-1]
+
+
+def aligned(a, b):
+    return 10 * distance(a, b) <= max(len(a), len(b))
 
 
 def edited(rng, words, n):
@@ -618,12 +620,52 @@ def edited(rng, words, n):
 
 
 def test_alignment_agrees_with_table():
-    rng = random.Random(10)
+    rng, near = random.Random(10), 0
+    for _ in range(400):
+        a = rng.choices(range(30), k=rng.randrange(1, 90))
+        b = edited(rng, a, rng.randrange(0, 12)) or [1]
+        x, y = (near_dedup.hashed([str(v) for v in s]) for s in (a, b))
+        assert near_dedup.similar(x, y) == aligned(a, b)
+        near += 0 < distance(a, b) and aligned(a, b)
+    assert near > 40
+
+
+def test_profiles_leave_out_no_near_copy():
+    rng = random.Random(13)
     for _ in range(300):
-        a = rng.choices(range(30), k=rng.randrange(1, 60))
-        b = edited(rng, a, rng.randrange(0, 9)) or [1]
-        x, y = (np.array([hash(v) & 0xFFFF for v in s], dtype=np.uint64) for s in (a, b))
-        assert near_dedup.similar(x, y) == aligned(x, y)
+        a = rng.choices(range(50), k=rng.randrange(1, 400))
+        b = edited(rng, a, rng.randrange(0, 60)) or [1]
+        x, y = (near_dedup.hashed([str(v) for v in s]) for s in (a, b))
+        one, two = (near_dedup._profiles([near_dedup.profile(h)]) for h in (x, y))
+        assert near_dedup._near(one, len(a), two, len(b))[0] or not near_dedup.similar(x, y)
+
+
+@pytest.mark.parametrize(("changed", "least"), [(0.02, 0.99), (0.05, 0.99), (0.08, 0.97), (0.1, 0.93)])
+def test_near_copies_share_a_key(changed, least):
+    """Pairs of 300 words of which so many, at random places, were replaced: the share that meets in a bucket."""
+    rng, met = random.Random(14), 0
+    for i in range(150):
+        a = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        b = list(a)
+        for at in rng.sample(range(300), round(300 * changed)):
+            b[at] = f"new{i}-{at}"
+        x, y = near_dedup.hashed(a), near_dedup.hashed(b)
+        assert near_dedup.similar(x, y)
+        met += bool({*near_dedup.keys(near_dedup.kmers(x))} & {*near_dedup.keys(near_dedup.kmers(y))})
+    assert met / 150 >= least
+
+
+def test_unlike_texts_of_a_large_bucket_are_compared(spark, monkeypatch):
+    """Texts that share a passage fill buckets; the near copies among them are linked, whoever the leaders are."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(15)
+    passage = [f"p{i}" for i in range(60)]
+    table = []
+    for i in range(120):
+        own = [f"o{i}-{j}" for j in range(20)]
+        table += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + edited(rng, own, 3)))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == dict(zip([d for d, _ in table], brute_classes(table), strict=True))
 
 
 def test_near_duplicates_by_brute_force(spark):

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from .shared import written
 
-#: Input partitions are counted in at most so many classes; the matrix on the driver has a row for each.
-MAX_PARTS = 8192
+#: Numbers in the matrix, at most; inputs of more partitions than it has rows for are read by fewer, larger tasks.
+MATRIX = 1 << 20
 #: Rows that one task orders within a shard, about.
 RUN_ROWS = 20_000
 
@@ -73,51 +73,49 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[i
     return matrix
 
 
-def uniform_shards(df: DataFrame, shards: int = 16, *, seed: int = 11, by: tuple[str, ...] | None = None) -> DataFrame:
+def uniform_shards(df: DataFrame, shards: int = 16, *, seed: int = 11) -> DataFrame:
     """Deal rows uniformly to shards whose sizes differ by one at most, each shard in random order.
 
-    Partitions draw how many rows they send to each shard (the matrix of counts
-    is the only thing that reaches the driver: ``MAX_PARTS`` x ``shards``
-    numbers at most), order their rows by a seeded hash and cut that order at
-    the counts. Within a shard a second hash deals the rows to runs of bounded
-    size, whose counts place them; ``slot`` is a row's place, gapless from 0.
-
-    ``by`` names the columns that the hashes read (all but maps, if none is
-    given); rows that agree in these may be exchanged for each other. Nulls
-    hash like a value. The result has the input's columns and shard, slot (an
-    input column of these names is replaced). The law depends on how the input
-    is partitioned; the same files and settings give the same shards. Fewer
-    rows than shards leave shards empty; an empty table gives an empty result.
+    Each partition puts its rows in an order drawn from the seed, the partition
+    and a row's number in it, without a shuffle, and is written so. Partitions
+    draw how many rows they send to each shard (the matrix of counts is the
+    only thing that reaches the driver: ``MATRIX`` numbers at most) and cut
+    their order at the counts. One exchange moves whole rows;
+    within a shard a second draw deals them to runs of bounded size, whose
+    counts place them; ``slot`` is a row's place, gapless from 0.
+
+    The draws don't read what a row holds, so equal rows are dealt as any
+    others, and nulls and types don't matter. The result has the input's
+    columns and shard, slot (an input column of these names is replaced). The
+    law depends on how the input is partitioned; the same files and settings
+    give the same shards. Fewer rows than shards leave shards empty; an empty
+    table gives an empty result.
     """
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    hashed = [F.col(c) for c in (by or [c for c in names if "map<" not in df.schema[c].dataType.simpleString()])]
-    rows = written(
-        df.select(
-            F.struct(*names).alias("row"),
-            F.pmod(F.spark_partition_id(), F.lit(MAX_PARTS)).alias("part"),
-            F.xxhash64(F.lit(seed), F.lit("send"), *hashed).alias("send"),
-            F.xxhash64(F.lit(seed), F.lit("place"), *hashed).alias("place"),
-        ),
-        "shard-rows",
-    )
-    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # MAX_PARTS rows at most
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # a row's number in its partition
+    send = F.xxhash64(F.lit(seed), F.lit("send"), F.col("from"), F.col("nth"))
+    rows = df.coalesce(max(1, MATRIX // shards)).select(F.struct(*names).alias("row"), F.spark_partition_id().alias("from"), number.alias("nth"))
+    rows = rows.sortWithinPartitions(send, "nth").withColumn("at", number)
+    rows = written(rows, "shard-rows")
+    counts = dict(rows.groupBy("from").count().collect())  # a row for each partition
     parts, total = sorted(counts), sum(counts.values())
     matrix = communication_matrix([counts[p] for p in parts], shards, seed)
-    ends = [(p, [sum(sent[: s + 1]) for s in range(shards)]) for p, sent in zip(parts, matrix, strict=True)]
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))])
-    ends = df.sparkSession.createDataFrame(ends, schema)
+    cuts = [(p, [sum(sent[: s + 1]) for s in range(shards)]) for p, sent in zip(parts, matrix, strict=True)]
+    cuts = df.sparkSession.createDataFrame(cuts, T.StructType([T.StructField("from", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))]))
 
-    at = F.row_number().over(Window.partitionBy("part").orderBy("send", "place")) - 1
     bits = max(6, min(16, math.ceil(math.log2(max(1, total / shards / RUN_ROWS)))))
-    sent = written(
-        rows.withColumn("at", at)
-        .join(F.broadcast(ends), "part")  # MAX_PARTS x shards numbers at most
-        .select("row", "place", F.size(F.filter("ends", lambda end: end <= F.col("at"))).alias("shard"), F.shiftrightunsigned(F.col("place"), 64 - bits).alias("run")),
-        "shard-sent",
+    place = F.xxhash64(F.lit(seed), F.lit("place"), F.col("from"), F.col("nth"))
+    sent = rows.join(F.broadcast(cuts), "from").select(  # MATRIX numbers at most
+        "row",
+        "from",
+        "nth",
+        F.size(F.filter("ends", lambda end: end <= F.col("at"))).alias("shard"),
+        place.alias("place"),
+        F.shiftrightunsigned(place, 64 - bits).alias("run"),
     )
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
     runs = sent.groupBy("shard", "run").count().select("shard", "run", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("shard", "run").orderBy("place")) - 1
+    within = F.row_number().over(Window.partitionBy("shard", "run").orderBy("place", "from", "nth")) - 1
     return (
         sent.withColumn("within", within)
         .join(runs, ["shard", "run"])

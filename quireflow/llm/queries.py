@@ -30,7 +30,7 @@ def op3_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media.to_media(table(spark, sf_dir, "documents")), "media", compression="zstd")
-    return media.from_media(stored).drop("pts", "random_access")
+    return media.from_media(stored)
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

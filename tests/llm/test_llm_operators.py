@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and held-out labels."""
 
+import datetime
 import hashlib
 import itertools
 import math
@@ -92,6 +93,30 @@ def test_mix_of_messy_rows(messy, empty):
     assert mixing.repeated(got, ["doc_id"]).count() == got.agg(F.sum("copies")).first()[0]
 
 
+def test_mix_by_brute_force(spark):
+    """Many equal rows, so that the cut falls among them, null ids and sources, against the rule in plain Python."""
+    rng = random.Random(19)
+    table = [(rng.randrange(8), "w " * rng.choice([0, 3, 3, 7]), rng.choice(["a", "a", "a", "b", None])) for _ in range(400)]
+    table += [(1, "w " * 5, "c")] * 60 + [(None, f"n{i} w", "d") for i in range(30)]
+    got = mixing.mix_sources(spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3), max_epochs=2.5).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(table)
+    for source in ("a", "b", "c", "d", None):
+        mine = [r for r in got if r["source"] == source]
+        sizes = [r["size"] for r in mine]
+        assert {r["source_size"] for r in mine} == {sum(sizes)} and len({r["target"] for r in mine}) == 1
+        target, whole = mine[0]["target"], int(mine[0]["target"] // sum(sizes))
+        assert {r["copies"] - whole for r in mine} <= {0, 1} and all(r["taken"] == r["copies"] * r["size"] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - target) <= max(sizes) / 2 + 1e-9
+    by = Counter((r["doc_id"], r["text"], r["source"], r["copies"]) for r in got)
+    again = mixing.mix_sources(spark.createDataFrame(table[::-1], "doc_id long, text string, source string").repartition(5), max_epochs=2.5).collect()
+    assert by == Counter((r["doc_id"], r["text"], r["source"], r["copies"]) for r in again)
+
+
+def test_mix_moves_no_text(spark, docs):
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_water_level(spark):
     table = spark.createDataFrame([(30.0, 5), (300.0, 2), (3.0, 1), (900.0, 0)], "cap double, weight int")
     level = mixing.water_level(table, 200.0)
@@ -160,6 +185,54 @@ def test_edited_texts(docs):
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.5 > 0.1 > np.mean([r["near_next"] for r in got.values()])
 
 
+@pytest.mark.parametrize("runs", [4, 2048])
+@pytest.mark.parametrize("kind", ["outlier", "string", "date", "repeated"])
+def test_next_rows_of_any_ids(spark, monkeypatch, kind, runs):
+    monkeypatch.setattr(fingerprints, "LEAST_RUNS", runs)
+    rng = random.Random(17)
+    ids = {"outlier": [*range(40), 2**62, -(2**63)], "string": [f"d{rng.randrange(10**6)}\"," for _ in range(40)], "date": [datetime.date(2020, 1, 1) + datetime.timedelta(i) for i in range(40)], "repeated": [7] * 60 + [None] * 5}[kind]
+    table = [(i, f"text {n}") for n, i in enumerate(ids)]
+    rng.shuffle(table)
+    df = spark.createDataFrame(table, f"doc_id {'string' if kind == 'string' else 'date' if kind == 'date' else 'long'}, text string").repartition(3)
+    got = fingerprints.with_next(df).collect()
+    assert len(got) == len(table) and len({r["pos"] for r in got}) == len(table)
+    # one ring through all rows, in which ids ascend but for one place
+    following = {r["text"]: r["next_text"] for r in got}
+    ring, text = [], table[0][1]
+    for _ in table:
+        ring.append(text)
+        text = following[text]
+    id_of = {t: (i is not None, i) for i, t in table}
+    assert text == table[0][1] and len(set(ring)) == len(table)
+    falls = sum(id_of[a] > id_of[b] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+    assert falls == (0 if len(set(ids)) == 1 else 1)
+    if runs > 4:
+        assert len({r["run"] for r in got}) > len(table) / 2  # no run holds many, wherever the ids lie
+
+
+def test_ids_without_an_order_are_refused(spark):
+    with pytest.raises(TypeError, match="ids must be"):
+        fingerprints.with_next(spark.sql("SELECT map(1, 2) AS doc_id, 'x' AS text"))
+
+
+@pytest.mark.parametrize(("shared", "samples"), [(0.3, 32), (0.5, 32), (0.8, 32)])
+def test_error_of_a_print(spark, shared, samples):
+    """The root mean square error of a likeness is near sqrt(J (1 - J) / samples)."""
+    rng = random.Random(18)
+    table, true = [], []
+    for i in range(150):
+        words = [f"{rng.randrange(10**9):09d}" for _ in range(60)]
+        n = round(60 * shared)
+        a, b = words[: 30 + n // 2], words[30 - n // 2 :]
+        table.append((i, "", " ".join(a), " ".join(b)))
+        true.append(len({*a} & {*b}) / len({*a} | {*b}))
+    parts = spark.createDataFrame(table, "i int, common string, rest string, other_rest string")
+    got = fingerprints.fingerprint_pairs(parts, ["i"], samples=samples).select("i", fingerprints.likeness(F.col("print"), F.col("other_print")).alias("l")).collect()
+    errors = np.array([r["l"] - true[r["i"]] for r in got])
+    expected = math.sqrt(true[0] * (1 - true[0]) / samples)
+    assert 0.8 * expected < math.sqrt((errors**2).mean()) < 1.25 * expected and abs(errors.mean()) < 3 * expected / math.sqrt(150)
+
+
 def test_fingerprints_of_messy_rows(spark, messy, empty):
     got = fingerprints.edited_fingerprints(messy).collect()
     assert len(got) == len(MESSY) and len({r["fingerprint"] for r in got if r["n_chars"] == 11}) == 1
@@ -202,6 +275,40 @@ def test_shards_of_messy_rows(messy, empty):
     assert sorted(r["count"] for r in sharding.uniform_shards(twice, 3).groupBy("shard").count().collect()) == [11, 11, 11]
 
 
+def test_copies_of_a_row_are_spread(spark):
+    """Of three copies of a row all stand in one of 16 shards with probability 1 / 256, two neighbours agree with 2 / rows."""
+    three = spark.range(2000).select(F.explode(F.sequence(F.lit(1), F.lit(3))), "id").select("id").repartition(3)
+    got = sharding.uniform_shards(three, 16).toPandas().sort_values(["shard", "slot"])
+    together = (got.groupby("id")["shard"].nunique() == 1).mean()
+    beside = (got["id"].diff() == 0).sum()
+    assert together < 0.012 and beside < 20
+    again = sharding.uniform_shards(three, 16).toPandas().sort_values(["shard", "slot"])
+    assert again["id"].tolist() == got["id"].tolist()
+
+
+def test_shuffle_is_uniform(spark):
+    """Where a row of a small table goes, over many seeds: every place is as likely."""
+    table, runs = spark.range(12).repartition(3, "id"), 60
+    seen = Counter()
+    for seed in range(runs):
+        for r in sharding.uniform_shards(table, 3, seed=seed).collect():
+            seen[r["id"], r["shard"]] += 1
+    chi = sum((seen[i, s] - runs / 3) ** 2 / (runs / 3) for i in range(12) for s in range(3))
+    assert chi < 60  # 24 degrees of freedom or fewer
+
+
+def test_op3_by_brute_force(spark):
+    got = queries.op3_uniform_shards(spark, SF).toPandas()
+    assert list(got.columns) == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    found = texts_of(spark.read.parquet(f"{SF}/documents.parquet"))
+    for doc_id, size, crc in zip(got["doc_id"], got["size"], got["text_crc32"], strict=True):
+        text = (found[doc_id] or "").encode()
+        assert (size, crc) == (len(text) + 1, zlib.crc32(text))
+    counts = got.groupby("shard")["slot"].agg(["count", "max"])
+    assert len(counts) == 16 and counts["count"].max() - counts["count"].min() <= 1 and (counts["max"] == counts["count"] - 1).all()
+    assert set(got["law"]) == {"rows"} and got["grown_shard"].isna().all() and sorted(got["doc_id"]) == sorted(found)
+
+
 def test_op3_deals_whole_documents(spark, monkeypatch):
     deal = sharding.uniform_shards
 
@@ -242,6 +349,54 @@ def test_broken_streams():
         with pytest.raises(media.StreamError):
             media.demux(bad)
     assert media.section_crc(b"123456789") == 0x0376E6E7
+    # a packet that stands still but differs is not one sent twice, nor is a third one
+    other = bytearray(stream[188 * 3 : 188 * 4])
+    other[100] ^= 1
+    assert media.demux(stream[: 188 * 4] + bytes(other) + stream[188 * 4 :])["breaks"] > 0
+    assert media.demux(stream[: 188 * 4] + 2 * stream[188 * 3 : 188 * 4] + stream[188 * 4 :])["breaks"] > 0
+
+
+def test_lost_packets_are_seen():
+    """Wherever 1 to 40 packets are cut, the payload is whole, or there are breaks, or the stream is refused."""
+    rng = random.Random(16)
+    payload = media.padded(rng.randbytes(102_400))
+    stream, seen = media.mux(payload), 0
+    n = len(stream) // 188
+    cuts = [(at, k) for k in (1, 2, 11, 12, 15, 16, 17, 24, 32, 33, 40) for at in range(0, n - k + 1, 5)] + [(n - k, k) for k in range(1, 41)] + [(2, n - 2)]
+    for at, k in cuts:
+        try:
+            found = media.demux(stream[: 188 * at] + stream[188 * (at + k) :])
+        except media.StreamError:
+            continue
+        assert found["breaks"] > 0, (at, k)
+        seen += 1
+    assert seen > 0.8 * len(cuts)
+
+
+def test_discontinuity_may_be_told():
+    stream = bytearray(media.mux(media.padded(bytes(5000))))
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    at = next(i for i in range(4, len(packets)) if packets[i][3] & 0x20 and packets[i][4])
+    for i in range(at, len(packets)):
+        packets[i][3] = packets[i][3] & 0xF0 | (packets[i][3] + 5) & 15
+    assert media.demux(b"".join(packets))["breaks"] == 1
+    packets[at][5] |= 0x80
+    assert media.demux(b"".join(packets))["breaks"] == 0
+
+
+def test_sections_across_packets():
+    """A program map of two packets is read, with the tables' packets sent twice."""
+    payload = media.padded(bytes(range(256)))
+    stream = media.mux(payload)
+    pad = bytes([0x80, 200]) + bytes(200)
+    body = bytes([0xE1, 0, 0xF0, len(pad)]) + pad + bytes([6, 0xE1, 0, 0xF0, 0])
+    section = b"\0" + media._section(2, 1, body)
+    one = bytes([0x47, 0x50, 0, 0x10]) + section[:184]
+    two = (bytes([0x47, 0x10, 0, 0x11]) + section[184:]).ljust(188, b"\xff")
+    found = media.demux(stream[:188] * 2 + one + one + two + stream[376:])
+    assert found["payload"] == payload and found["breaks"] == 0
+    with pytest.raises(media.StreamError):
+        media.demux(stream[:188] + two + one + stream[376:])
 
 
 def test_media_of_messy_rows(messy, empty):
@@ -655,9 +810,11 @@ def test_near_copies_share_a_key(changed, least):
     assert met / 150 >= least
 
 
-def test_unlike_texts_of_a_large_bucket_are_compared(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [20, 1000])
+def test_unlike_texts_of_a_large_bucket_are_compared(spark, monkeypatch, crowd):
     """Texts that share a passage fill buckets; the near copies among them are linked, whoever the leaders are."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     rng = random.Random(15)
     passage = [f"p{i}" for i in range(60)]
     table = []

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import PRIMARY_FIELDS, RATE_FIELDS, is_number
-from .text import clean_spaces, is_placeholder, replaced
+from .text import clean_spaces, is_clean_placeholder, replaced
 
 # Fields that are read again, and the scores below which they are.
 RETRIED = ["article", "unit", "foreign_value_rs", "indian_value_rs", "total_value"]
@@ -29,7 +29,12 @@ def _when(test: Column, amount: float | Column) -> Column:
 
 def score(field: str, text: Column, confidence: Column | None = None) -> Column:
     """How well a reading suits its field; -10 for a blank one. [SCR1]"""
-    t = clean_spaces(text)
+    return score_clean(field, clean_spaces(text), confidence)
+
+
+def score_clean(field: str, t: Column, confidence: Column | None = None) -> Column:
+    """``score`` of a text whose white space is clean."""
+    # All weights and limits below.
     total = F.lit(0.0) if confidence is None else F.coalesce(confidence.cast("double"), F.lit(0.0))
     if is_number(field):
         n = replaced(t, (" ", ""))
@@ -49,20 +54,25 @@ def score(field: str, text: Column, confidence: Column | None = None) -> Column:
         total = total - _when(n_words > 5, F.least((n_words - 5) * F.lit(0.35), F.lit(2.0))) - _when(n_chars > 40, F.least((n_chars - 40) * F.lit(0.04), F.lit(2.0)))
     else:
         total = total + _when(t.rlike(r"\A[A-Za-z0-9 .,';:()-]+\z"), 0.3)
-    return F.when(is_placeholder(t), -10.0).otherwise(total)
+    return F.when(is_clean_placeholder(t), -10.0).otherwise(total)
 
 
 def score_of(field: Column, text: Column, confidence: Column | None = None) -> Column:
     """``score`` where the field is a column."""
+    return score_of_clean(field, clean_spaces(text), confidence)
+
+
+def score_of_clean(field: Column, t: Column, confidence: Column | None = None) -> Column:
+    """``score_of`` of a text whose white space is clean. Bind it to a column first, as it is named often."""
     from ..schema import LEFT_FIELDS, RIGHT_FIELDS
 
     kinds: dict[str, list[str]] = {}
-    for name in LEFT_FIELDS + RIGHT_FIELDS:
+    for name in ["row_no", *LEFT_FIELDS, *RIGHT_FIELDS]:
         kind = "article" if name == "article" else "number" if is_number(name) else "rate" if name in RATE_FIELDS else "other"
         kinds.setdefault(kind, []).append(name)
-    out = score("remarks", text, confidence)
+    out = score_clean("remarks", t, confidence)
     for names in (kinds["article"], kinds["number"], kinds["rate"]):
-        out = F.when(field.isin(names), score(names[0], text, confidence)).otherwise(out)
+        out = F.when(field.isin(names), score_clean(names[0], t, confidence)).otherwise(out)
     return out
 
 

@@ -58,6 +58,12 @@ def is_placeholder(text: Column) -> Column:
     return (value == "") | value.rlike(r"\A[.\-–—_:;|]{2,}\z")
 
 
+def is_clean_placeholder(text: Column) -> Column:
+    """``is_placeholder`` of a text whose white space is clean. [PRD1]"""
+    value = replaced(text, (" ", ""))
+    return (value == "") | value.rlike(r"\A[.\-–—_:;|]{2,}\z")
+
+
 def basic(text: Column) -> Column:
     """White space cleaned, misread ditto marks and rates put right. [TXT2]"""
     return F.trim(replaced(clean_spaces(text), ("Da.", "Do."), ("Da,", "Do."), ("Do,", "Do."), ("Vent.", "Cent."), ("Vent", "Cent")))

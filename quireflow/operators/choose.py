@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import vote_number
-from ..functions.scoring import is_primary, may_retry, needs_retry, prefers_token, score, score_of
+from ..functions.scoring import is_primary, may_retry, needs_retry, prefers_token, score, score_of_clean
 from ..functions.similarity import match_names
-from ..functions.text import clean_spaces, is_placeholder
+from ..functions.text import clean_spaces, is_clean_placeholder
 
 #: Engines in the order in which they are preferred.
 ENGINES = ["tesseract", "paddle", "glm"]
@@ -53,10 +53,11 @@ def picked_text(outputs: DataFrame, keys: list[str], names: list[str]) -> DataFr
 
 def best_candidate(candidates: DataFrame, keys: list[str], field: str = "field") -> DataFrame:
     """The candidate (ord, text, confidence, engine) of highest score, the first of equals; blank ones don't count. [TOP5, PRD14]"""
-    seen = candidates.where((clean_spaces(F.col("text")) != "") & ~is_placeholder(F.col("text")))
-    points = seen.withColumn("points", score_of(F.col(field), F.col("text"), F.col("confidence")))
-    best = F.max_by(F.struct("text", "confidence", "engine", "ord"), F.struct("points", -F.col("ord")))
-    return points.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
+    cleaned = candidates.withColumn("_text", clean_spaces(F.col("text")))
+    points = cleaned.withColumn("points", score_of_clean(F.col(field), F.col("_text"), F.col("confidence")))
+    best = F.max_by(F.struct("text", "confidence", "engine", "ord"), F.when(~is_clean_placeholder(F.col("_text")), F.struct("points", -F.col("ord"))))
+    found = points.groupBy(*keys).agg(best.alias("best"))
+    return found.where("best is not null").select(*keys, "best.*")
 
 
 def best_variant(readings: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +69,7 @@ def best_variant(readings: DataFrame, keys: list[str]) -> DataFrame:
     if all do, the blank classifier is the engine.
     """
     f, t, c = F.col("field"), F.col("text"), F.col("confidence")
-    read = readings.withColumn("points", score_of(f, t, c)).withColumn("ends", (F.col("ord") == 0) & ~needs_retry(f, t, F.col("points")))
+    read = readings.withColumn("_text", clean_spaces(t)).withColumn("points", score_of_clean(f, F.col("_text"), c)).withColumn("ends", (F.col("ord") == 0) & ~needs_retry(f, t, F.col("points")))
     item = F.struct("text", "confidence", F.concat("engine", F.lit("@"), "variant").alias("engine"))
     best = F.max_by(item, F.when(~F.col("likely_blank"), F.struct("ends", "points", -F.col("ord"))))
     found = read.groupBy(*keys).agg(best.alias("best"), F.bool_and("likely_blank").alias("blank"))
@@ -87,7 +88,8 @@ def resolved(cells: DataFrame) -> DataFrame:
     """
     f, t, tc = F.col("field"), F.coalesce("token_text", F.lit("")), F.col("token_confidence")
     c, cc = F.coalesce("cell_text", F.lit("")), F.col("cell_confidence")
-    cells = cells.withColumns({"_token_score": score_of(f, t, tc), "_cell_score": F.when(c != "", score_of(f, c, cc)).otherwise(-10.0)})
+    cells = cells.withColumns({"_token": clean_spaces(t), "_cell": clean_spaces(c)})
+    cells = cells.withColumns({"_token_score": score_of_clean(f, F.col("_token"), tc), "_cell_score": F.when(c != "", score_of_clean(f, F.col("_cell"), cc)).otherwise(-10.0)})
     ts, cs = F.col("_token_score"), F.col("_cell_score")
     doubtful = needs_retry(f, t, ts)
     primary = is_primary(f) & doubtful & (c != "") & ~prefers_token(f, c, cs, t, tc, ts)
@@ -95,13 +97,14 @@ def resolved(cells: DataFrame) -> DataFrame:
     again = primary | other
     blank = is_primary(f) & (t == "")
     engine = F.when(again, F.coalesce("cell_engine", F.lit("table_tokens"))).when(blank, F.col("cell_engine")).otherwise("table_tokens")
-    return cells.withColumns({"text": F.when(again, c).otherwise(t), "confidence": F.when(again, cc).otherwise(tc), "engine": engine}).drop("_token_score", "_cell_score")
+    return cells.withColumns({"text": F.when(again, c).otherwise(t), "confidence": F.when(again, cc).otherwise(tc), "engine": engine}).drop("_token", "_cell", "_token_score", "_cell_score")
 
 
 def cells_to_read(cells: DataFrame) -> DataFrame:
     """The cells whose tokens leave them to be read again; only these go to an engine. [PRD9, PRD10]"""
     f, t = F.col("field"), F.coalesce("token_text", F.lit(""))
-    return cells.where((is_primary(f) | may_retry(f)) & needs_retry(f, t, score_of(f, t, F.col("token_confidence"))))
+    cells = cells.withColumn("_token", clean_spaces(t)).withColumn("_points", score_of_clean(f, F.col("_token"), F.col("token_confidence")))
+    return cells.where((is_primary(f) | may_retry(f)) & needs_retry(f, t, F.col("_points"))).drop("_token", "_points")
 
 
 def page_engine(counts: DataFrame, backend: str = "auto"):

@@ -79,17 +79,21 @@ def pair_models(candidates: DataFrame, keys: list[str]) -> DataFrame:
     intercept, n_rows and score for keys where eight row numbers agree. Lines
     with more row numbers win, then higher scores, then earlier pairs.
     """
-    one = candidates.select(*keys, F.col("row_no").alias("row_a"), F.col("y").alias("y_a"), F.col("pos").alias("pos_a"))
-    two = candidates.select(*keys, F.col("row_no").alias("row_b"), F.col("y").alias("y_b"), F.col("pos").alias("pos_b"))
-    lines = one.join(two, keys).where("pos_a < pos_b and row_b > row_a and y_b > y_a")
-    lines = lines.withColumn("step", F.try_divide(F.col("y_b") - F.col("y_a"), F.col("row_b") - F.col("row_a"))).where(F.col("step").between(*STEP_RANGE))
-    lines = lines.select(*keys, "pos_a", "pos_b", "step", (F.col("y_a") - F.col("step") * F.col("row_a")).alias("intercept"))
-    error = F.abs(F.col("step") * F.col("row_no") + F.col("intercept") - F.col("y"))
+    item = F.struct("pos", "row_no", F.col("y").cast("double").alias("y"), F.col("confidence").cast("double").alias("confidence"))
+    pages = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
+
+    def lines_from(a: Column, all_: Column) -> Column:
+        step = lambda b: F.try_divide(b["y"] - a["y"], b["row_no"] - a["row_no"])
+        ahead = F.filter(all_, lambda b: (a["pos"] < b["pos"]) & (b["row_no"] > a["row_no"]) & (b["y"] > a["y"]) & step(b).between(*STEP_RANGE))
+        return F.transform(ahead, lambda b: F.struct(a["pos"].alias("pos_a"), b["pos"].alias("pos_b"), step(b).alias("step"), (a["y"] - step(b) * a["row_no"]).alias("intercept")))
+
+    lines = pages.withColumn("a", F.explode("all")).select(*keys, "all", F.inline(lines_from(F.col("a"), F.col("all"))))
     tolerance = F.greatest(F.lit(8.0), F.col("step") * 0.35)
-    near = lines.join(candidates.select(*keys, "row_no", "y", "confidence"), keys).where(error <= tolerance)
-    scored = near.groupBy(*keys, "pos_a", "pos_b", "step", "intercept").agg(
-        F.count_distinct("row_no").alias("n_rows"), F.sum(1.0 + F.col("confidence") - error / tolerance * 0.25).alias("score")
-    )
+    error = lambda c: F.abs(F.col("step") * c["row_no"] + F.col("intercept") - c["y"])
+    # the page's candidates go along with each line, so that nothing is joined
+    near = lines.withColumn("_tolerance", tolerance).withColumn("_near", F.filter("all", lambda c: error(c) <= F.col("_tolerance"))).drop("all")
+    points = F.aggregate("_near", F.lit(0.0), lambda total, c: total + (1.0 + c["confidence"] - error(c) / F.col("_tolerance") * 0.25))
+    scored = near.select(*keys, "pos_a", "pos_b", "step", "intercept", F.size(F.array_distinct(F.transform("_near", lambda c: c["row_no"]))).cast("long").alias("n_rows"), points.alias("score"))
     best = F.max_by(F.struct("step", "intercept", "n_rows", "score"), F.struct("n_rows", "score", -F.col("pos_a"), -F.col("pos_b")))
     return scored.where(F.col("n_rows") >= LEAST_INLIERS).groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 

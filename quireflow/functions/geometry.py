@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PRIMARY_FIELDS
@@ -63,3 +63,19 @@ def variants(field: Column, base: Column, width: Column, height: Column) -> Colu
     seen = lambda found: F.transform(found, lambda v: v["box"])
     once = lambda found: F.filter(found, lambda v, i: F.array_position(seen(found), v["box"]) == i + 1)
     return F.transform(F.array(tried), once)[0]
+
+
+def reading_boxes(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """The box in which each cell is read by itself: column box. An article's spans the unit's column too. [GEO5, GEO7]
+
+    ``rows`` has width and height of the page and the row's top and bottom;
+    ``columns`` is a side's (field, start_ratio, end_ratio).
+    """
+    unit = columns.where("field = 'unit'").select(F.lit("article").alias("field"), F.col("end_ratio").alias("_unit_end"))
+    spans = columns.where("field <> 'row_no'").join(unit, "field", "left")  # the columns of a side: nine
+    spans = spans.agg(F.collect_list(F.struct("field", "start_ratio", F.coalesce("_unit_end", "end_ratio").alias("end_ratio"), F.col("_unit_end").isNotNull().alias("spans"))).alias("c")).first()["c"]
+    listed = F.array(*[F.struct(F.lit(c["field"]).alias("field"), F.lit(c["start_ratio"]).alias("start_ratio"), F.lit(c["end_ratio"]).alias("end_ratio"), F.lit(c["spans"]).alias("spans")) for c in spans])
+    wide = rows.select("*", F.inline(listed))
+    left, right = share(F.col("width"), F.col("start_ratio")), share(F.col("width"), F.col("end_ratio"))
+    box_ = padded(F.col("field"), left, right, F.col("top"), F.col("bottom"), F.col("width"), F.col("height"), F.col("spans"))
+    return wide.withColumn("box", box_).drop("width", "height", "top", "bottom", "start_ratio", "end_ratio", "spans")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NOISE_TOKENS, basic, clean_spaces, is_placeholder
+from ..functions.text import NOISE_TOKENS, basic, clean_spaces, is_placeholder, split_article_and_unit
 from ..schema import LEFT_FIELDS, RIGHT_FIELDS, is_number
 
 #: Height of the strips that tokens and boxes meet in.
@@ -52,6 +52,17 @@ def cell_texts(tokens: DataFrame, boxes: DataFrame, keys: list[str], cell: list[
     return found.withColumn("text", joined_tokens(F.col("_tokens"), numeric)).drop("_tokens")
 
 
+def split_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells (row_no, field, text, engine) after units left articles; an article that changed says so in its engine. [TXT12, SCR6]"""
+    row = Window.partitionBy(*keys, "row_no")
+    text_of = lambda field: F.coalesce(F.max(F.when(F.col("field") == field, F.coalesce("text", F.lit("")))).over(row), F.lit(""))
+    cells = cells.withColumns({"_article": text_of("article"), "_unit": text_of("unit")}).withColumn("_parts", split_article_and_unit(F.col("_article"), F.col("_unit")))
+    changed = (F.col("field") == "article") & (F.col("_parts.article") != F.col("_article"))
+    text = F.when(F.col("field") == "article", F.col("_parts.article")).when(F.col("field") == "unit", F.col("_parts.unit")).otherwise(F.col("text"))
+    engine = F.when(changed & (F.col("engine") != ""), F.concat("engine", F.lit("+row_split"))).otherwise(F.col("engine"))
+    return cells.withColumns({"engine": engine, "text": text}).drop("_article", "_unit", "_parts")
+
+
 def row_spine(spreads: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each expected row number of a spread (row_start, expected_rows). [JN4]"""
     last = F.col("row_start") + F.col("expected_rows") - 1

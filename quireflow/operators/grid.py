@@ -12,6 +12,8 @@ from .windows import group_centres, intervals, profile_threshold
 
 # Limits of the fits.
 LEAST_ANCHORS, LEAST_INLIERS, STEP_RANGE, BLOCK_ROWS = 4, 8, (25.0, 65.0), 47
+# Margin and enlargement of a strip of row numbers.
+STRIP_MARGIN, STRIP_SCALE = 8.0, 2.0
 
 
 def row_anchors(tokens: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,6 +100,32 @@ def pair_models(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return scored.where(F.col("n_rows") >= LEAST_INLIERS).groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 
+def strip_candidates(read: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
+    """Row numbers read in the strips of narrow columns: strip, row_no, y, confidence, pos. [PRD3, PRD17, NUM12, SRT2]
+
+    ``read`` has index (the column), text, confidence, y and height of each
+    token as an engine saw it: in a strip with a margin, enlarged. ``columns``
+    has index, left, right and page_width. Numbers from 1 to 600 count, with a
+    confidence; columns that are wide, or in which fewer than eight were read,
+    don't. Candidates are in the order of y, then of reading (pos).
+    """
+    # Widths, numbers and counts that make a strip.
+    narrow = columns.where(F.col("right") - F.col("left") <= F.greatest(F.lit(90), (F.col("page_width") * 0.12).cast("int"))).select(*keys, "index")
+    row_no = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^0-9]", "").try_cast("decimal(38,0)")
+    y = (F.col("y") + F.col("height") / 2.0 - STRIP_MARGIN) / STRIP_SCALE
+    found = read.join(narrow, [*keys, "index"]).where(row_no.between(1, 600) & (F.col("confidence") >= 0))
+    found = found.select(*keys, F.col("index").alias("strip"), row_no.cast("int").alias("row_no"), y.alias("y"), F.col("confidence").cast("double").alias("confidence"), "pos")
+    strip = Window.partitionBy(*keys, "strip")
+    found = found.withColumns({"_n": F.count("*").over(strip), "pos": F.row_number().over(strip.orderBy("y", "pos"))})
+    return found.where(F.col("_n") >= LEAST_INLIERS).drop("_n")
+
+
+def best_strips(models: DataFrame, keys: list[str]) -> DataFrame:
+    """The strip whose line most row numbers lie near, then that of higher score, then the first: strip, step, intercept, first_row. [TOP3, NUM11]"""
+    best = F.max_by(F.struct("strip", "step", "intercept", "first_row"), F.struct("n_rows", "score", -F.col("strip")))
+    return models.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
+
+
 def refined_models(models: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """A least-squares line through the surest inlier of each row number. [AGG5, AGG8]"""
     error = F.abs(F.col("step") * F.col("row_no") + F.col("intercept") - F.col("y"))

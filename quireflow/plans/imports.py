@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import page_kind
 from ..operators import grid, windows
 from ..operators.records import union_all
+from ..sources.layouts import import_starts
 
 KEYS = ["source_file", "page_number"]
 
 
+def with_starts(pages: DataFrame) -> DataFrame:
+    """Pages (stem, page_number) with expected_start, the first row that is known of them, or null. [SRC9, JN13]"""
+    return pages.drop("expected_start").join(F.broadcast(import_starts(pages.sparkSession)), ["stem", "page_number"], "left")  # 18 rows
+
+
 def page_rows(tokens: DataFrame, candidates: DataFrame, columns: DataFrame, pages: DataFrame, peaks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells (long form) and headers of pages.
 
@@ -24,8 +30,7 @@ def page_rows(tokens: DataFrame, candidates: DataFrame, columns: DataFrame, page
     """
     strips = [*KEYS, "strip"]
     models = grid.refined_models(grid.pair_models(candidates, strips), candidates, strips)
-    best = F.max_by(F.struct("strip", "step", "intercept", "first_row"), F.struct("n_rows", "score", -F.col("strip")))
-    models = models.groupBy(*KEYS).agg(best.alias("best")).select(*KEYS, "best.*")
+    models = grid.best_strips(models, KEYS)
     fitted = grid.block_centres(models, pages, KEYS, "expected_start")
     missing = pages.where("expected_start is not null").join(fitted.select(*KEYS).distinct(), KEYS, "left_anti")
     ruled = grid.ruled_centres(peaks, missing.withColumnRenamed("expected_start", "row_start"), KEYS)

@@ -6,8 +6,6 @@ they would be read from one; the SQL says the same rendering and the rules.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,33 +13,10 @@ from ..functions import geometry, numbers, scoring, similarity, text
 from ..operators import cells, choose, compare, grid, images, records, review, windows
 from ..sources import artefacts
 from ..sources.articles import KNOWN_ARTICLES
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        if sql is not None:
-            SQL[query.__name__] = sql
-        return query
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _case(number, *values):
-    """The value at a number's rest by how many there are."""
-    out = F.when(number % len(values) == 0, values[0])
-    for i, value in enumerate(values[1:], 1):
-        out = out.when(number % len(values) == i, value)
-    return out
-
+from . import kernel_queries, page_queries  # noqa: F401  (they register theirs)
+from .registry import QUERIES, SQL, registered  # noqa: F401
+from .registry import case as _case
+from .registry import table as _t
 
 _BASIC = "trim(replace(replace(replace(replace(replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), 'Da.', 'Do.'), 'Da,', 'Do.'), 'Do,', 'Do.'), 'Vent.', 'Cent.'), 'Vent', 'Cent'))"
 
@@ -276,18 +251,18 @@ def q15_union_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """WITH t AS (SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey % 50 AS page, l_quantity * 20 + 5 AS xc, (l_partkey % 300) * 4 + 4 AS yc FROM lineitem),
+    """WITH t AS (SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey AS page, l_quantity * 20 + 5 AS xc, (l_partkey % 300) * 4 + 4 AS yc FROM lineitem),
 b AS (SELECT p.page, r.row_no, c.field, c.left_, c.right_, r.row_no * 100 + 8 AS top, r.row_no * 100 + 92 AS bottom
-  FROM (SELECT unnest(range(50)) AS page) p, (SELECT unnest(range(12)) AS row_no) r, (VALUES ('article', 10, 300), ('total_value', 300, 600), ('remarks', 610, 990)) c(field, left_, right_))
+  FROM (SELECT s_suppkey AS page FROM supplier) p, (SELECT unnest(range(12)) AS row_no) r, (VALUES ('article', 10, 300), ('total_value', 300, 600), ('remarks', 610, 990)) c(field, left_, right_))
 SELECT b.page, row_no, field, count(*) AS n, sum(id)::BIGINT AS ids, min(n) AS first_line FROM t JOIN b ON t.page = b.page AND xc BETWEEN left_ AND right_ AND yc BETWEEN top AND bottom GROUP BY ALL"""
 )
 def q16_token_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens in boxes, edges included. [JN2, JN3, GEO1]"""
     tokens = _t(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), (F.col("l_suppkey") % 50).alias("page"), (F.col("l_quantity") * 20).alias("x"), (F.col("l_partkey") % 300 * 4).alias("y"), F.lit(10).alias("width"), F.lit(8).alias("height")
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("page"), (F.col("l_quantity") * 20).alias("x"), (F.col("l_partkey") % 300 * 4).alias("y"), F.lit(10).alias("width"), F.lit(8).alias("height")
     )
-    columns = spark.createDataFrame([("article", 10, 300), ("total_value", 300, 600), ("remarks", 610, 990)], "field string, left int, right int")
-    boxes = columns.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("row_no")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("page"))
+    columns = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("left"), F.lit(b).alias("right")) for f, a, b in (("article", 10, 300), ("total_value", 300, 600), ("remarks", 610, 990))])
+    boxes = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.inline(columns)).select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("row_no"))
     boxes = boxes.withColumns({"top": F.col("row_no") * 100 + 8, "bottom": F.col("row_no") * 100 + 92})
     found = cells.tokens_in_boxes(tokens, boxes, ["page"])
     return found.groupBy("page", "row_no", "field").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.min("n").alias("first_line"))
@@ -383,14 +358,20 @@ def q21_pair_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """SELECT user_id, round(regr_slope(value, event_id), 6) AS slope, round(regr_intercept(value, event_id), 4) AS intercept, count(*) AS n
-FROM (SELECT user_id, event_id // 3 AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2) GROUP BY user_id HAVING count(*) > 2"""
+    f"""WITH {_CANDIDATES},
+m AS (SELECT DISTINCT page, (31 + page % 25)::DOUBLE AS step, 85.0::DOUBLE AS icpt, 7.5::DOUBLE AS score FROM c),
+b AS (SELECT c.page, row_no, y, step, icpt, score FROM c JOIN m ON c.page = m.page WHERE abs(step * row_no + icpt - y) <= greatest(8, step * 0.35)
+  QUALIFY row_number() OVER (PARTITION BY c.page, row_no ORDER BY confidence DESC, row_no) = 1),
+f AS (SELECT page, CASE WHEN count(*) > 1 THEN regr_slope(y, row_no) ELSE min(step) END AS step, CASE WHEN count(*) > 1 THEN regr_intercept(y, row_no) ELSE min(icpt) END AS icpt, min(score) AS score FROM b GROUP BY page)
+SELECT f.page, round(step, 6) AS step, round(icpt, 6) AS intercept, score, count(DISTINCT row_no) AS n_rows, min(row_no)::INT AS first_row
+FROM f JOIN c ON f.page = c.page WHERE abs(step * row_no + icpt - y) <= greatest(8, step * 0.35) GROUP BY ALL"""
 )
 def q22_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least squares through the surest point of each row. [AGG5, AGG8]"""
-    events = _t(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 3).alias("row")).agg(F.max_by("value", "event_id").alias("value"))
-    fit = events.groupBy("user_id").agg(F.round(F.regr_slope("value", "row"), 6).alias("slope"), F.round(F.regr_intercept("value", "row"), 4).alias("intercept"), F.count("*").alias("n"))
-    return fit.where("n > 2")
+    """A line refined by least squares through the surest inlier of each row. [AGG5, AGG8, NUM10]"""
+    candidates = _candidates(spark, sf_dir)
+    models = candidates.select("page").distinct().withColumns({"step": (31 + F.col("page") % 25).cast("double"), "intercept": F.lit(85.0), "score": F.lit(7.5)})
+    found = grid.refined_models(models, candidates, ["page"])
+    return found.select("page", F.round("step", 6).alias("step"), F.round("intercept", 6).alias("intercept"), "score", "n_rows", "first_row")
 
 
 @registered(
@@ -595,7 +576,9 @@ def q36_image_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.join(profiles.groupBy("origin").pivot("axis", ["x", "y"]).agg(F.first("peak")), "origin")
 
 
-@registered()
+@registered(
+    """SELECT event_id, 0::BIGINT AS ord, event_id::VARCHAR AS row_no, NULL::VARCHAR AS article_suggestion, value > 20 AS duty_rate_ok, event_type AS notes FROM events WHERE event_id % 5 < 3"""
+)
 def q37_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON arrays found in models' answers. [JSN1, TXT14]"""
     item = F.to_json(F.array(F.struct(F.col("event_id").cast("string").alias("row_no"), F.col("event_type").alias("notes"), (F.col("value") > 20).alias("duty_rate_ok"))))
@@ -685,7 +668,7 @@ def q42_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy rows cleaned, filled, flagged and counted: the way of a table from reading to review."""
     w = Window.partitionBy("spread").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    lines = _t(spark, sf_dir, "lineitem").withColumn("spread", F.col("l_suppkey") % 40).withColumn("row_no", F.row_number().over(w))
+    lines = _t(spark, sf_dir, "lineitem").withColumn("spread", F.col("l_suppkey")).withColumn("row_no", F.row_number().over(w))
     parts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     quantity = F.format_number("l_extendedprice", 0)
     blank = {f: F.lit("") for f in ("unit", "foreign_duty_rs", "indian_quantity", "indian_value_rs", "indian_duty_rate", "indian_duty_rs", "indian_duty_as", "indian_duty_p", "remarks")}

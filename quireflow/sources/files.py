@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
@@ -18,11 +19,11 @@ from ..schema import NUMBER_FIELDS, OUTPUT_COLUMNS
 
 
 def documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """The files of a folder: path, stem, length, content. An empty folder raises FileNotFoundError. [SRC3]"""
+    """The files of a folder, by path: path, stem, length, content. An empty folder raises FileNotFoundError. [SRC3]"""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {pattern} in {folder}")
-    return files.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "length", "content")
+    return files.orderBy("path").select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "length", "content")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,13 +79,21 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def json_text(rows: DataFrame) -> str:
+    """Nested rows as one indented JSON array, for a page's or a spread's debug file; of more rows than a sheet holds, an error. [SNK7]"""
+    found = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("row")).limit(SHEET_ROWS + 1).collect()
+    if len(found) > SHEET_ROWS:
+        raise ValueError("more rows than a debug file holds; write one JSON object a line")
+    return json.dumps([json.loads(r["row"]) for r in found], ensure_ascii=False, indent=2)
+
+
 def write_by_file(rows: DataFrame, path: str) -> None:
     """Rows in a folder for each source file. [SNK5, AGG18]"""
     rows.write.mode("overwrite").partitionBy("source_file").parquet(path)
 
 
 # Column widths and fills of the workbook. [SNK3, SNK4]
-WIDTHS = dict(zip("ABCDEFGHIJKLMNOPQRSTUV", (20, 10, 8, 28, 10, 14, 14, 22, 10, 10, 10, 14, 14, 22, 10, 10, 10, 14, 18, 40, 20, 34), strict=True))
+WIDTHS = {"A": 20, "B": 10, "C": 8, "D": 28, "E": 10, "F": 14, "G": 14, "H": 22, "I": 10, "J": 10, "K": 10, "L": 14, "M": 14, "N": 22, "O": 10, "P": 10, "Q": 10, "R": 14, "S": 18, "T": 40, "U": 20, "V": 34}
 HEADER_FILL, REVIEW_FILL, OTHER_WIDTH = "D9E2F3", "FDE9D9", 14
 #: Rows of a sheet, at most: the format's limit, less the header.
 SHEET_ROWS = 1_048_575

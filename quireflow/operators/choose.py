@@ -60,6 +60,13 @@ def best_candidate(candidates: DataFrame, keys: list[str], field: str = "field")
     return found.where("best is not null").select(*keys, "best.*")
 
 
+def doubtful_first(readings: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells whose first box looks blank, or reads so that the others are tried as well. [PRD10]"""
+    f, t = F.col("field"), F.coalesce("text", F.lit(""))
+    read = readings.where("ord = 0").withColumn("_text", clean_spaces(t)).withColumn("_points", score_of_clean(f, F.col("_text"), F.col("confidence")))
+    return read.where(F.col("likely_blank") | needs_retry(f, t, F.col("_points"))).select(*keys)
+
+
 def best_variant(readings: DataFrame, keys: list[str]) -> DataFrame:
     """The reading of a cell's best box. [TOP4]
 

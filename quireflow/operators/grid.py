@@ -100,6 +100,12 @@ def pair_models(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return scored.where(F.col("n_rows") >= LEAST_INLIERS).groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 
+def narrow_columns(columns: DataFrame) -> DataFrame:
+    """Columns (left, right, page_width) in which row numbers may stand. [PRD17]"""
+    # The widths.
+    return columns.where(F.col("right") - F.col("left") <= F.greatest(F.lit(90), (F.col("page_width") * 0.12).cast("int")))
+
+
 def strip_candidates(read: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
     """Row numbers read in the strips of narrow columns: strip, row_no, y, confidence, pos. [PRD3, PRD17, NUM12, SRT2]
 
@@ -109,8 +115,8 @@ def strip_candidates(read: DataFrame, columns: DataFrame, keys: list[str]) -> Da
     confidence; columns that are wide, or in which fewer than eight were read,
     don't. Candidates are in the order of y, then of reading (pos).
     """
-    # Widths, numbers and counts that make a strip.
-    narrow = columns.where(F.col("right") - F.col("left") <= F.greatest(F.lit(90), (F.col("page_width") * 0.12).cast("int"))).select(*keys, "index")
+    # Numbers that may be a row's.
+    narrow = narrow_columns(columns).select(*keys, "index")
     row_no = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^0-9]", "").try_cast("decimal(38,0)")
     y = (F.col("y") + F.col("height") / 2.0 - STRIP_MARGIN) / STRIP_SCALE
     found = read.join(narrow, [*keys, "index"]).where(row_no.between(1, 600) & (F.col("confidence") >= 0))

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import written
+from .shared import let, written
 
 #: Samples of a fingerprint.
 SAMPLES = 32
 #: A word's length counts up to this in its weight.
 LENGTH_CAP = 63
-#: Cells of the id range whose counts reach the driver; runs of neighbouring cells, at least; code points of a run and of a task, about.
-CELLS, LEAST_RUNS, RUN_CHARS, TASK_CHARS = 65_536, 4096, 16 << 20, 4 << 20
+#: Runs that the ids are cut into, at least and at most; cells of a run and ids of a cell that reach the driver, about;
+#: code points of a run and of a task, about.
+LEAST_RUNS, MOST_RUNS, CELLS, SAMPLED, RUN_CHARS, TASK_CHARS = 1024, 65_536, 2, 4, 16 << 20, 4 << 20
+#: Types of ids: those that have an order and can be written as JSON.
+ID_TYPES = (T.IntegralType, T.StringType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
 #: The characters between words.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -86,47 +92,70 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
 
 
+def _cell_of(key: Column, cuts: list[str], key_type: str) -> Column:
+    """How many of ``cuts``, ascending JSON values of ``key_type``, ``key`` reaches; by halving."""
+    listed = F.from_json(F.lit(f"[{','.join(cuts)}]"), f"array<{key_type}>")
+
+    def found(key: Column, listed: Column, place: Column, step: int) -> Column:
+        if not step:
+            return place
+        return found(key, listed, let(place, lambda p: F.when(F.get(listed, p + (step - 1)) <= key, p + step).otherwise(p)), step // 2)
+
+    # the list is named once, as each name would hold it anew in the plan
+    return let(listed, lambda listed: let(key, lambda key: found(key, listed, F.lit(0), 1 << len(cuts).bit_length() >> 1)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row of doc_id and text with the next row's text, in ascending order of doc_id; after the last comes the first.
 
-    The id range is cut into cells; their sizes (``CELLS`` rows at most) reach
-    the driver, which joins neighbouring cells to runs of about equal text. One
-    shuffle brings a run together, and the first row of each run goes to the
-    run before as well, so that no order over all rows is needed. Null ids come
-    first; rows of one id are ordered by a hash of the text.
+    Ids are of any type of ``ID_TYPES``. Some, drawn by a hash, reach the
+    driver and cut the order into cells of about equally many rows, wherever
+    the ids lie; the cells' sizes reach it too, and neighbouring cells become
+    runs of about equal text: ``MOST_RUNS`` x ``CELLS`` x ``SAMPLED`` rows at
+    most. One shuffle brings a run together, and the first row of each run goes
+    to the run before as well, so that no order over all rows is needed. Null
+    ids come first; rows of one id are ordered by a hash of the text, and cut
+    by it too.
 
     Returns run, pos, next_pos (pos is unique), doc_id, text, next_text,
     partitioned by run.
     """
-    spark = docs.sparkSession
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 2) // CELLS))
-    sort_id = F.coalesce(F.col("doc_id"), F.lit(low - 1))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), sort_id.alias("sort_id"), F.floor((sort_id - F.lit(low - 1)) / F.lit(width)).cast("int").alias("cell"))
-    cells = sorted(docs.groupBy("cell").agg(F.sum(F.length("text") + 64), F.min("sort_id")).collect())  # CELLS rows at most
-    total, so_far = sum(c[1] for c in cells), 0
-    wanted = max(LEAST_RUNS, min(CELLS, total // RUN_CHARS))
-    runs: list[tuple[int, list[int]]] = []
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
+    if not isinstance(id_type, ID_TYPES):
+        raise TypeError(f"doc_id is of type {id_type.simpleString()}; ids must be integers, strings, decimals, dates or times")
+    key_type = f"struct<s:boolean,i:{id_type.simpleString()},h:bigint>"
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("key", F.struct(F.col("doc_id").isNotNull().alias("s"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
+    rows, total = docs.agg(F.count("*"), F.sum(F.length("text") + 64)).first()
+    wanted = max(LEAST_RUNS, min(MOST_RUNS, (total or 0) // RUN_CHARS))
+    share = min(1.0, wanted * CELLS * SAMPLED / max(1, rows))
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit(2), F.col("key")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.select("key").distinct().sort("key").select(F.to_json("key").alias("cut")).collect()  # so many rows, about
+    cuts = [drawn[i]["cut"] for i in sorted({len(drawn) * j // (wanted * CELLS) for j in range(wanted * CELLS)})] if drawn else []
+    docs = docs.withColumn("cell", _cell_of(F.col("key"), cuts, key_type))
+    cells = sorted(docs.groupBy("cell").agg(F.sum(F.length("text") + 64), F.min("key")).collect(), key=lambda c: c[0])  # a row for each
+    runs: list[tuple] = []
+    so_far = 0
     for cell, chars, first in cells:
         if so_far * wanted >= total * len(runs):
             runs.append((first, []))
         runs[-1][1].append(cell)
         so_far += chars
     plan = [(cell, r, first, (r - 1) % len(runs)) for r, (first, members) in enumerate(runs) for cell in members]
-    plan = spark.createDataFrame(plan, "cell int, run int, first long, ahead int")
+    key = T.StructType([T.StructField("s", T.BooleanType()), T.StructField("i", id_type), T.StructField("h", T.LongType())])
+    plan = spark.createDataFrame(plan, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("run", T.IntegerType()), T.StructField("first", key), T.StructField("ahead", T.IntegerType())]))
     home = F.struct(F.col("run").alias("run"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("ahead").alias("run"), F.lit(1).alias("guest"))
-    places = F.when(F.col("sort_id") == F.col("first"), F.array(home, guest)).otherwise(F.array(home))
-    dealt = docs.join(F.broadcast(plan), "cell").select("text", "sort_id", F.inline(places))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_CHARS)
-    order = Window.partitionBy("run").orderBy("guest", "sort_id", F.xxhash64("text"), "text")
+    leads = F.col("key.i").eqNullSafe(F.col("first.i")) & (F.col("key.h") == F.col("first.h"))
+    places = F.when(leads, F.array(home, guest)).otherwise(F.array(home))
+    dealt = docs.join(F.broadcast(plan), "cell").select("text", "key", F.inline(places))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // TASK_CHARS)
+    order = Window.partitionBy("run").orderBy("guest", "key", "text")
     pos = F.shiftleft(F.col("run").cast("long"), 40) + F.row_number().over(order)
     behind = F.pmod(F.col("run") + 1, F.lit(max(1, len(runs)))).cast("long")
     after = F.when(F.lead("guest").over(order) == 1, F.shiftleft(behind, 40) + 1).otherwise(pos + 1)
-    doc_id = F.when(F.col("sort_id") >= low, F.col("sort_id")).alias("doc_id")
     # all that is moved is read by whoever reads the text, so that Spark moves it once for all of them
-    seen = dealt.repartition(tasks, "run").select("run", doc_id, "text", "guest", pos.alias("pos"), after.alias("next_pos"), F.lead("text").over(order).alias("next_text"))
+    seen = dealt.repartition(tasks, "run").select("run", F.col("key.i").alias("doc_id"), "text", "guest", pos.alias("pos"), after.alias("next_pos"), F.lead("text").over(order).alias("next_text"))
     return seen.where("guest = 0").select("run", "pos", "next_pos", "doc_id", "text", "next_text")
 
 
@@ -139,7 +168,8 @@ def edited_fingerprints(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame
     the input other than doc_id and text don't matter and don't return.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next.
+    near_edited, near_next. A likeness of ``samples`` places estimates a
+    similarity J with a standard error of sqrt(J (1 - J) / samples).
     """
     chars = F.length("text")
     rows = with_next(docs.select("doc_id", "text")).select("run", "pos", "next_pos", "doc_id", "text", "next_text", chars.alias("n_chars"), F.floor(chars / 4).cast("int").alias("cut"))

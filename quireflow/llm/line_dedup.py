@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, let, written
+from .shared import WORD, let, with_key, written
 
 #: Words from which on a repeated run of lines is deleted.
 MIN_WORDS = 50
@@ -137,8 +137,8 @@ def _extended(rows: DataFrame, min_words: int) -> DataFrame:
     sides = rows.select("doc_id", "k", F.inline(sides_of(F.col("text"), min_words))).select("doc_id", "k", "i", F.explode("sides").alias("side")).where("side is not null")
     sides = written(sides, "line-sides")
     place = F.xxhash64("doc_id", "k", "i")
-    again = sides.groupBy("side").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("side")
-    anchors = sides.join(again, "side", "left_semi").groupBy("doc_id", "k").agg(F.collect_set("i").alias("anchors"))
+    again = written(sides.groupBy("side").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x <> y").select("side", "n"), "line-sides-again")
+    anchors = with_key(sides, again, ["side"], sides.count()).groupBy("doc_id", "k").agg(F.collect_set("i").alias("anchors"))
     anchors = anchors.withColumnsRenamed({"doc_id": "anchor_id", "k": "anchor_k"})
     texts = rows.join(anchors, F.col("doc_id").eqNullSafe(F.col("anchor_id")) & F.col("k").eqNullSafe(F.col("anchor_k")))
     found = texts.select("doc_id", "k", F.inline(passages_of(F.col("text"), F.col("anchors"), min_words)))
@@ -157,8 +157,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, extend:
     Winnowing selects each window's least line hash. Where a fingerprint stands
     at one place only, its windows are unique and end there; the other windows
     are joined on their content, whose first place is found by a partial
-    aggregate, so nothing is emitted for pairs of places. All windows over a
-    matched fingerprint take part, which extends a match both ways to the ends
+    aggregate, so nothing is emitted for pairs of places; frequent fingerprints
+    and contents are broadcast. All windows over a matched fingerprint take part, which extends a match both ways to the ends
     of the run.
 
     With ``extend``, runs also go on word by word into the lines around them:
@@ -183,13 +183,14 @@ def drop_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, extend:
         .select("doc_id", "k", "a", "b", "wh", "wg", "fp", F.xxhash64("doc_id", "k", "at").alias("place")),
         "line-windows",
     )
-    again = windows.groupBy("fp").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("fp")
-    matched = written(windows.join(again, "fp", "left_semi").select("wh", "wg", F.struct("doc_id", "k", "a").alias("here"), "b"), "line-matches").select("wh", "wg", "here", "here.a", "b")
+    again = written(windows.groupBy("fp").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.count("*").alias("n")).where("x <> y").select("fp", "n"), "line-hashes")
+    matched = written(with_key(windows, again, ["fp"], windows.count()).select("wh", "wg", F.struct("doc_id", "k", "a").alias("here"), "b"), "line-matches").select("wh", "wg", "here", "here.a", "b")
     if extend:
         matched = matched.unionAll(_extended(rows.select("doc_id", "k", "text"), min_words))
-    first = matched.groupBy("wh", "wg").agg(F.min("here").alias("first"), F.max("here").alias("last")).where("first <> last").select("wh", "wg", "first")
+    first = matched.groupBy("wh", "wg").agg(F.min("here").alias("first"), F.max("here").alias("last"), F.count("*").alias("n")).where("first <> last")
+    first = written(first.select("wh", "wg", "first", "n"), "line-firsts")
     gone = (
-        matched.join(first, ["wh", "wg"])
+        with_key(matched, first, ["wh", "wg"], matched.count())
         .where("here > first")
         .groupBy("here.doc_id", "here.k")
         .agg(F.collect_set(F.struct("a", "b")).alias("runs"))

@@ -2,8 +2,9 @@
 
 Operators that read an intermediate more than once, or whose intermediate must
 not change when a task is run again, write it here as Parquet. The folder is
-the session's ``spark.checkpoint.dir``; only where that is unset (tests, a
-local session) a temporary folder takes its place.
+the session's ``spark.checkpoint.dir``, or the one that was set on its
+context; only a local session, as in tests, may do without, in a temporary
+folder.
 """
 
 from __future__ import annotations
@@ -18,10 +19,19 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Keys that are broadcast for being frequent, at most.
+FREQUENT = 4096
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quireflow.shared.dir", None)
+    if not named and context._jsc.sc().getCheckpointDir().isDefined():
+        named = context._jsc.sc().getCheckpointDir().get()
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quireflow-")
         spark.conf.set("spark.quireflow.shared.dir", named)
     return named.rstrip("/")
@@ -68,3 +78,15 @@ def word_count(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``table``, a written table of one row a key, whose column n says how many rows have the key.
+
+    Keys of more than a ``FREQUENT``th of ``total``, the number of rows, are
+    ``FREQUENT`` at most; they are broadcast, so that no key's rows have to
+    stand in one task. The others are joined as usual.
+    """
+    often = F.broadcast(table.where(F.col("n") > max(1, total // FREQUENT)))
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(table.where(F.col("n") <= max(1, total // FREQUENT)), keys)
+    return rows.join(often, keys).unionByName(rest)

@@ -15,15 +15,17 @@ may begin a contraction) stand around these. States and transitions are
 compiled when a text first asks for them and kept.
 
 A long text is read in chunks. A chunk's map takes the state before it to the
-state after it and a count; from the first blank after a non-blank on, all
-states agree, so a map is its head up to there, a count and a state. Maps
-compose associatively; a prefix scan over them counts the whole text.
+state after it and a count; from the first place on at which a word begins
+whatever stood before, all states agree, so a map is its head up to there, a
+count and a state. Maps compose associatively, and are reduced in pairs. The
+chunks of a very long text are mapped by many tasks; only maps come together.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from itertools import zip_longest
@@ -32,10 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Characters of a chunk; states (a kilobyte each, about) and pairs of tokens that a worker keeps before it compiles anew.
 CHUNK, STATES, PAIRS = 4096, 500_000, 400_000
-#: A blank after a non-blank, as the library's pattern sees blanks, among characters on which its and Python's agree.
-RESET = re.compile("[!-~¡-ᙿ][ \t-\r]")
+#: Characters from which on a text's pieces are mapped by different tasks, and of such a piece.
+SPLIT, PIECE = 1 << 20, 1 << 17
+# Letters, digits and other signs but the apostrophe, as the library's pattern sees them too.
+_LETTER, _DIGIT, _SIGN = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", "0-9", "!-&(-/:-@\\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+#: Two characters of which the second begins a word, or a run of blanks, whatever stood before them.
+RESET = re.compile(f"[!-~¡-ᙿ][ \t-\r]|[{_LETTER}][{_DIGIT}{_SIGN}]|[{_DIGIT}][{_LETTER}{_SIGN}]|[{_SIGN}][{_LETTER}{_DIGIT}]")
 _ROOT = 0
 
 
@@ -58,10 +66,11 @@ class Transducer:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         before = config["pre_tokenizer"] or {}
-        if config["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"] or config["normalizer"]:
+        if config["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"] or config["normalizer"] or config["model"].get("ignore_merges"):
             raise ValueError(f"{path}: not a byte-level vocabulary that splits text by the published pattern")
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in config["added_tokens"]) or r"(?!)")
+        self.specials = sorted((t["content"] for t in config["added_tokens"]), key=len, reverse=True)  # of two that begin alike the longer one counts
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
         self._compile_vocabulary(config["model"])
         self._compatible: dict[tuple[int, int], bool] = {}
         self.kinds: dict[str, str] = {}
@@ -219,7 +228,8 @@ class Transducer:
         reset = RESET.search(text)
         if not reset:
             return text, 0, None
-        n, row = self.run(text[reset.end() :], self.row(("blank", self.EMPTY, text[reset.end() - 1])))
+        last = text[reset.end() - 1]
+        n, row = self.run(text[reset.end() :], self.row(self._begin(last, self.kind(last))[0]))
         return text[: reset.end()], n, row.key
 
     def compose(self, one: tuple, two: tuple) -> tuple:
@@ -238,10 +248,13 @@ class Transducer:
     def _count(self, text: str, chunk: int) -> int:
         if len(text) <= chunk:
             return self.run(text, self.start)[0]
-        maps = [self.chunk_map(text[at : at + chunk], at == 0) for at in range(0, len(text), chunk)]
-        while len(maps) > 1:  # neighbours in pairs, then pairs of pairs
+        return self.reduced([self.chunk_map(text[at : at + chunk], at == 0) for at in range(0, len(text), chunk)])[1]
+
+    def reduced(self, maps: list[tuple]) -> tuple:
+        """The map of all chunks, in order: neighbours are composed in pairs, then pairs of pairs."""
+        while len(maps) > 1:
             maps = [a if b is None else self.compose(a, b) for a, b in zip_longest(maps[::2], maps[1::2])]
-        return maps[0][1]
+        return maps[0]
 
 
 def _byte_chars() -> dict[int, str]:
@@ -272,6 +285,31 @@ def _counted(path: str):
     return run
 
 
+def _mapped(path: str, chunk: int):
+    """The map of each piece, from the maps of its chunks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(path)
+        for batch in batches:
+            found = []
+            for text, i in zip(batch.column("piece").to_pylist(), batch.column("i").to_pylist(), strict=True):
+                maps = [machine.chunk_map(text[at : at + chunk], i == 0 and at == 0) for at in range(0, len(text), chunk)]
+                found.append(pickle.dumps(machine.reduced(maps)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "n_bytes", "i")), pa.array(found, pa.binary())], ["doc_id", "row", "n_bytes", "i", "map"])
+
+    return run
+
+
+def _composed(path: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(path)
+        for batch in batches:
+            counts = [machine.reduced([pickle.loads(m["map"]) for m in maps])[1] for maps in batch.column("maps").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    return run
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit of each whole text.
 
@@ -279,7 +317,24 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512) -> DataFr
     ``tokenizer`` (byte-level), without added special tokens, special strings
     inside a text being tokens. Null texts are empty; empty texts have none.
     Rows are counted where they lie, one for one; other columns don't return.
+    Texts of more than ``SPLIT`` characters without special strings are cut
+    into pieces, which any task may map; a text's maps, which hold a piece's
+    text only as far as no word surely begins, are then composed.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_counted(tokenizer), f"doc_id {id_type}, n_bytes long, n_tokens long")
+    id_type, schema = docs.schema["doc_id"].dataType.simpleString(), "n_bytes long, n_tokens long"
+    docs = docs.select("doc_id", "text")
+    special = F.lit(False)
+    for s in transducer(tokenizer).specials:
+        special = special | F.col("text").contains(s)
+    split = F.coalesce((F.length("text") > SPLIT) & ~special, F.lit(False))
+    rows = docs.where(~split).mapInArrow(_counted(tokenizer), f"doc_id {id_type}, {schema}")
+    long = docs.where(split)
+    if not long.isEmpty():
+        n_bytes, ends = F.octet_length("text").cast("long").alias("n_bytes"), F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+        pieces = long.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), n_bytes, ends.alias("ends"))
+        pieces = pieces.select("doc_id", "text", "row", "n_bytes", F.explode("ends").alias("i"))
+        pieces = written(pieces.select("doc_id", "row", "n_bytes", "i", F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("piece")), "pieces")
+        maps = pieces.repartition("row", "i").mapInArrow(_mapped(tokenizer, CHUNK), f"doc_id {id_type}, row long, n_bytes long, i int, map binary")
+        whole = maps.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("i", "map"))).alias("maps"))
+        rows = rows.unionAll(whole.select("doc_id", "n_bytes", "maps").mapInArrow(_composed(tokenizer), f"doc_id {id_type}, {schema}"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

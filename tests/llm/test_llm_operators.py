@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -185,7 +186,7 @@ def test_edited_texts(docs):
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.5 > 0.1 > np.mean([r["near_next"] for r in got.values()])
 
 
-@pytest.mark.parametrize("runs", [4, 2048])
+@pytest.mark.parametrize("runs", [4, 1024])
 @pytest.mark.parametrize("kind", ["outlier", "string", "date", "repeated"])
 def test_next_rows_of_any_ids(spark, monkeypatch, kind, runs):
     monkeypatch.setattr(fingerprints, "LEAST_RUNS", runs)
@@ -445,6 +446,32 @@ def test_chunk_maps_compose_in_any_grouping():
     assert left[1] == right[1] == machine.count(text)
 
 
+def test_resets_begin_words():
+    """The library cuts texts where a reset says, and no state before it matters."""
+    machine, rng = token_counts.Transducer(BYTES), random.Random(20)
+    for kind, chars in (("L", token_counts._LETTER), ("N", token_counts._DIGIT), ("P", token_counts._SIGN)):
+        inside = re.compile(f"[{chars}]")
+        assert all(machine.kind(chr(c)) == kind for c in range(0x110000) if inside.match(chr(c)) and (c < 0x3100 or c % 97 == 0))
+    for _ in range(400):
+        text = "".join(rng.choices("ab'srtvelm1日本。、!? \n", k=40))
+        n = len(machine.reduced([machine.chunk_map(text, True)])) and machine.count(text)
+        cut = rng.randrange(1, 39)
+        two = machine.compose(machine.chunk_map(text[:cut], True), machine.chunk_map(text[cut:]))
+        assert two[1] == n
+    assert len(machine.chunk_map("日本語。" * 100)[0]) < 8
+
+
+def test_pieces_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "SPLIT", 300)
+    monkeypatch.setattr(token_counts, "PIECE", 70)
+    rng, library = random.Random(21), Tokenizer.from_file(BYTES)
+    table = [(i, "".join(rng.choices("ab 'srtvelm\n1!é日。😀", k=rng.choice([0, 20, 299, 301, 1000])))) for i in range(40)]
+    table += [(7, "x" * 2000), (7, "x" * 2000), (None, "日" * 900), (50, "a b " * 200 + "<|endoftext|>"), (51, None)]
+    got = token_counts.count_tokens(spark.createDataFrame(table, "doc_id long, text string").repartition(3), BYTES).collect()
+    want = Counter((d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in table)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+
+
 def test_forgetting_states_changes_nothing(monkeypatch, docs):
     monkeypatch.setattr(token_counts, "STATES", 50)
     machine, library = token_counts.Transducer(BYTES), Tokenizer.from_file(BYTES)
@@ -785,6 +812,29 @@ def test_alignment_agrees_with_table():
     assert near > 40
 
 
+def test_columns_agree_with_table():
+    rng = random.Random(23)
+    for _ in range(300):
+        a = rng.choices(range(12), k=rng.randrange(1, 80))
+        b = edited(rng, a, rng.randrange(0, 30)) or [1]
+        d = distance(a, b)
+        assert near_dedup._distance_within(a, b, d) and not near_dedup._distance_within(a, b, d - 1)
+
+
+def test_hashes_of_words(monkeypatch):
+    rng = random.Random(24)
+    texts = ["".join(rng.choices("ab é日 \t\n\x0b\x0c\r\x1c\x85\xa0", k=rng.randrange(60))) for _ in range(500)]
+    seen = {}
+    for text in texts:
+        words, h = near_dedup.words_of(text), near_dedup.hashes_of(text.encode())
+        assert len(words) == len(h) and text.encode().split() == [w.encode() for w in words]
+        assert all(seen.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen) > 500
+    whole = near_dedup.hashes_of(" ".join(texts).encode())
+    monkeypatch.setattr(near_dedup, "BYTES", 50)
+    assert (near_dedup.hashes_of(" ".join(texts).encode()) == whole).all()
+
+
 def test_profiles_leave_out_no_near_copy():
     rng = random.Random(13)
     for _ in range(300):

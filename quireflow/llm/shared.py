@@ -37,19 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, which is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/quireflow/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove)
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read from there.
 
-    The lineage ends at the files, so a lost executor costs a reread. Files are
-    removed when the driver's Python ends.
+    The lineage ends at the files, so a lost executor costs a reread.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quireflow/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    if not _written:
-        atexit.register(_remove)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove() -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import scratch, written
 from .tokenization import encoder
 
 #: Bytes of a stripe, rows of a row group with its own index and Bloom filter, chance of a false hit.
@@ -89,7 +88,7 @@ def document_places(tokens: DataFrame) -> DataFrame:
 
 
 def stored_places(docs: DataFrame, tokenizer: str, *, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """Write the documents' ids to ``path`` (a new one in the shared folder) and describe what the files hold."""
-    path = path or f"{shared_dir(docs.sparkSession)}/quireflow/tokens-{uuid.uuid4().hex}"
+    """Write the documents' ids to ``path`` (a place in the shared folder that is removed at the end, if none is named) and describe what the files hold."""
+    path = path or scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end_id=end_id)
     return document_places(read_tokens(docs.sparkSession, path))

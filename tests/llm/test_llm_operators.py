@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyarrow import orc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -502,6 +503,28 @@ def test_token_store(spark, docs, messy, empty, tmp_path):
     assert [r["doc_id"] for r in token_store.read_tokens(spark, str(tmp_path / "orc"), [7, 9]).orderBy("doc_id").collect()] == [7, 9]
 
 
+def rows_scanned(df):
+    """How many rows the scan of files gave on, after ``df`` was collected."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_token_store_skips_by_index_and_bloom_filter(spark, tmp_path):
+    """Even ids only: an id beyond all is skipped by its range, an odd one between them by the Bloom filters."""
+    table = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    token_store.write_tokens(table, str(tmp_path / "orc"), BYTES)
+    n = table.count()
+    read = lambda ids: token_store.read_tokens(spark, str(tmp_path / "orc"), ids)
+    assert rows_scanned(read([50_000])) == 0
+    assert rows_scanned(read([7_778])) <= 2 * token_store.GROUP_ROWS < n
+    hits = sum(rows_scanned(read([i])) > 0 for i in range(1, 2001, 100))
+    assert hits <= 2  # of 20, each with a chance of 0.01
+    for file in (tmp_path / "orc").glob("*.orc"):
+        assert orc.ORCFile(file).row_index_stride == token_store.GROUP_ROWS
+
+
 # packing
 
 
@@ -742,6 +765,28 @@ def test_quality_of_messy_rows(spark, messy, empty):
     assert quality.classify(empty, some).count() == 0
 
 
+def test_fit_by_plain_ridge(spark):
+    """The fitted weights are those of one ridge regression over all labelled rows that aren't held out."""
+    rng = random.Random(22)
+    table = [(i, " ".join(rng.choice(["lorem,", "Ipsum", "x9#", "dolor.", "!!"]) for _ in range(rng.randrange(1, 60)))) for i in range(300)]
+    labels = [(i, rng.randrange(2)) for i in range(0, 300, 2)]
+    model = quality.fit(spark.createDataFrame(table, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int"))
+    seen = [(quality.statistics(dict(table)[i]), y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([s for s, _ in seen]), np.array([float(v) for _, v in seen])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    features = np.c_[np.ones(len(z)), np.cos(z @ model.directions + model.phases) * math.sqrt(2 / quality.FEATURES)]
+    penalty = quality.PENALTY * len(z) / quality.FEATURES * np.diag([1e-9, *[1.0] * quality.FEATURES])
+    want = np.linalg.solve(features.T @ features + penalty, features.T @ y)
+    assert np.allclose(features @ want, features @ model.weights, atol=1e-6)
+    # products of features approximate a Gaussian kernel
+    wide = np.random.default_rng(1)
+    directions, phases = wide.standard_normal((x.shape[1], 20_000)) / (quality.WIDTH * math.sqrt(x.shape[1]) * 2), wide.uniform(0, 2 * math.pi, 20_000)
+    c = np.cos(z[:20] @ directions + phases) * math.sqrt(2 / 20_000)
+    kernel = np.exp(-((z[:20, None] - z[None, :20]) ** 2).sum(-1) / (2 * (quality.WIDTH * math.sqrt(x.shape[1]) * 2) ** 2))
+    assert np.abs(c @ c.T - kernel).max() < 0.06
+
+
 def test_isotonic_by_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(30):

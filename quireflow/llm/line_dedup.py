@@ -43,7 +43,8 @@ def windows_of(text: Column, min_words: int) -> Column:
         ahead = F.transform(every, lambda s: F.struct(s.alias("s"), _reach(F.slice(lines, s + 1, min_words), min_words).alias("n")))
         first = lambda e: F.greatest(e - (min_words - 1), F.lit(0))
         behind = F.transform(every, lambda e: let(_reach(F.reverse(F.slice(lines, first(e) + 1, e - first(e) + 1)), min_words), lambda n: F.struct((e - n + 1).alias("s"), n.alias("n"))))
-        both = F.filter(F.array_union(ahead, behind), lambda x: x["n"] > 0)
+        # the windows up to a line that aren't windows from a line on as well
+        both = let(ahead, lambda ahead: F.concat(F.filter(ahead, lambda x: x["n"] > 0), F.filter(behind, lambda x: (x["n"] > 0) & (F.get(ahead, x["s"])["n"] != x["n"]))))
 
         def window(x: Column) -> Column:
             return let(
@@ -82,7 +83,7 @@ def _placed(text: Column, body) -> Column:
 
 
 def sides_of(text: Column, min_words: int) -> Column:
-    """The lines of fewer than ``min_words`` words with what stands beside them: array of i, sides.
+    """The lines of fewer than ``min_words`` words with what stands beside them: array of nth, sides (nth among those not blank).
 
     A passage of ``min_words`` words around a line of w reaches half of what w
     lacks at least, to one side. A side hashes the line and so many words
@@ -94,13 +95,14 @@ def sides_of(text: Column, min_words: int) -> Column:
         reach = lambda line: F.slice(words, line["at"] + 1, line["w"] + half(line))
         after = lambda line: F.when(line["at"] + line["w"] + half(line) <= F.size(words), F.xxhash64(F.lit("after"), line["h"], reach(line)))
         before = lambda line: F.when(line["at"] >= half(line), F.xxhash64(F.lit("before"), line["h"], F.slice(words, F.greatest(line["at"] - half(line), F.lit(0)) + 1, half(line))))
-        return F.transform(F.filter(lines, lambda line: line["w"] < min_words), lambda line: F.struct(line["i"].alias("i"), F.array(before(line), after(line)).alias("sides")))
+        sides = F.transform(lines, lambda line, nth: F.when(line["w"] < min_words, F.struct(nth.alias("nth"), F.array(before(line), after(line)).alias("sides"))))
+        return F.filter(sides, lambda x: x.isNotNull())
 
     return _placed(text, found)
 
 
 def passages_of(text: Column, anchors: Column, min_words: int) -> Column:
-    """The passages of ``min_words`` words over each of the lines numbered in ``anchors``: array of i, a, b, wh, wg.
+    """The passages of ``min_words`` words over each of the lines that stand at ``anchors`` among those not blank: array of i, a, b, wh, wg.
 
     wh and wg hash the words, the line's place among them and the line itself;
     a and b are the first and last line that lie whole in the passage.
@@ -125,20 +127,20 @@ def passages_of(text: Column, anchors: Column, min_words: int) -> Column:
                     ),
                 )
 
-            return F.when(F.array_contains(anchors, line["i"]) & (first <= last), let(near, lambda near: F.transform(F.sequence(first, last), lambda s: passage(near, s))))
+            return F.when(first <= last, let(near, lambda near: F.transform(F.sequence(first, last), lambda s: passage(near, s))))
 
-        return F.flatten(F.filter(F.transform(lines, over), lambda x: x.isNotNull()))
+        return F.flatten(F.filter(F.transform(anchors, lambda nth: let(F.get(lines, nth), lambda line: over(line, nth))), lambda x: x.isNotNull()))
 
     return _placed(text, found)
 
 
 def _extended(rows: DataFrame, min_words: int) -> DataFrame:
     """The passages over lines that stand elsewhere too with the same words on one side: wh, wg, here, a, b."""
-    sides = rows.select("doc_id", "k", F.inline(sides_of(F.col("text"), min_words))).select("doc_id", "k", "i", F.explode("sides").alias("side")).where("side is not null")
+    sides = rows.select("doc_id", "k", F.inline(sides_of(F.col("text"), min_words))).select("doc_id", "k", "nth", F.explode("sides").alias("side")).where("side is not null")
     sides = written(sides, "line-sides")
-    place = F.xxhash64("doc_id", "k", "i")
+    place = F.xxhash64("doc_id", "k", "nth")
     again = written(sides.groupBy("side").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x <> y").select("side", "n"), "line-sides-again")
-    anchors = with_key(sides, again, ["side"], sides.count()).groupBy("doc_id", "k").agg(F.collect_set("i").alias("anchors"))
+    anchors = with_key(sides, again, ["side"], sides.count()).groupBy("doc_id", "k").agg(F.sort_array(F.collect_set("nth")).alias("anchors"))
     anchors = anchors.withColumnsRenamed({"doc_id": "anchor_id", "k": "anchor_k"})
     texts = rows.join(anchors, F.col("doc_id").eqNullSafe(F.col("anchor_id")) & F.col("k").eqNullSafe(F.col("anchor_k")))
     found = texts.select("doc_id", "k", F.inline(passages_of(F.col("text"), F.col("anchors"), min_words)))

@@ -71,3 +71,39 @@ def test_sequences_hold_the_mix_s_tokens(stages):
     want = sum(len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in stages[4].collect())
     got = stages[5].collect()
     assert sum(len(r["ids"]) for r in got) == 4 * want and all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
+
+
+MESSY = [
+    (1, "a b c d e f", "en", "s0", 11, 7),
+    (1, "a b c d e f", "en", "s0", 11, 7),
+    (2, "a b c d e f", None, "s1", None, 8),
+    (3, None, "en", "s1", None, None),
+    (4, "", "de", None, 0, 1),
+    (5, " \n\t ", "de", None, 4, 1),
+    (None, "x y\nz", None, "s0", 5, 2),
+    (None, None, None, None, None, None),
+    (6, "\n".join(f"Line {i} of a long text, said once." for i in range(4000)), "en", "s2", 1, 3),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_messy_and_empty_tables(spark, name):
+    """Nulls, empty and long texts, repeated rows and columns named like the operators' own; and no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k int, score double, size int, nth int, node int, bin int, row int, at int, keys int, key int"
+    docs = spark.createDataFrame([(*r, 0.5, 1, 2, 3, 4, 5, 6, 7, 8) for r in MESSY], schema)
+    got = stage(spark, docs, SF)
+    last = name == corpus_pipeline.STAGES[-1][0]
+    assert last or got.columns == corpus_pipeline.COLUMNS
+    rows = got.collect()
+    if name == "quality classifier":
+        assert {(r["doc_id"], r["text"]) for r in rows} <= {(r[0], r[1]) for r in MESSY}
+    if name == "line dedup":  # documents that go whole are left out; these have nothing repeated
+        assert len(rows) == len(MESSY)
+    if name == "MinHash near-dedup":
+        assert sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "6", "None"]
+    if name == "mixing sources":
+        assert all(sum(s["doc_id"] == r["doc_id"] for s in rows) <= 6 for r in rows)
+    if last:
+        assert sum(r["piece"] == 0 for r in rows) == len(MESSY)
+    assert stage(spark, docs.limit(0), SF).count() == 0

@@ -667,6 +667,21 @@ def test_planted_passages_go_and_clean_documents_stay(spark):
     assert all(passage not in got[i]["text"] and got[i]["n_removed"] == 2 for i, _ in planted[1:])
 
 
+@pytest.mark.parametrize("extend", [False, True])
+def test_long_texts_of_many_lines(spark, extend):
+    """Two texts of 30,000 lines that share 20,000 of them, and repeat lines of their own: time grows with the lines."""
+    rng = random.Random(25)
+    line = lambda: " ".join(f"{rng.randrange(10**12)}" for _ in range(rng.randrange(1, 9)))
+    shared = [line() for _ in range(20_000)]
+    one, two = shared + [line() for _ in range(10_000)], [line() for _ in range(9_000)] + shared + ["same line"] * 1000
+    table = spark.createDataFrame([(1, "\n".join(one)), (2, "\n".join(two))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(table, extend=extend).collect()}
+    assert got[1]["text"] == "\n".join(one) and got[2]["n_lines"] == 30_000
+    kept = got[2]["text"].split("\n")
+    assert kept[:9000] == two[:9000] and not {*kept} & {*shared}
+    assert kept[9000:] == ["same line"]  # the run from its second line on stood one line earlier
+
+
 def brute_passages(table, least):
     """Lines that ``brute_lines`` finds, or that lie whole in a passage of ``least`` words around a shared line, by looking at every passage."""
     docs, seen, gone = sorted(((d, t) for d, t in table if t is not None), key=lambda r: (r[0] is not None, r[0] or 0)), set(), {}

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import json
 import logging
+import shutil
 import urllib.request
 from base64 import b64encode
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,14 @@ VISION_OPTIONS, VISION_SECONDS = {"temperature": 0.0, "top_p": 1.0, "num_predict
 NUMBERS = [f for f in LEFT_FIELDS + RIGHT_FIELDS if is_number(f)]
 
 
+def located(name: str, places: Iterable[str] = ()) -> str:
+    """Where an engine's program lies: on the search path, or else at the first of ``places`` that exists. [UDF1]"""
+    for place in filter(None, [shutil.which(name), *places]):
+        if Path(place).is_file():
+            return str(place)
+    raise FileNotFoundError(f"{name} is neither on the search path nor at {', '.join(places) or 'any other place'}")
+
+
 def settings(field: str) -> list[str]:
     """The settings under which a cell's variants are read. [UDF4]"""
     if is_number(field):

@@ -328,15 +328,26 @@ def rule_profile(binary: np.ndarray, axis: str) -> np.ndarray:
     return opened(binary, max(25, w // 18), 1).sum(1) / 255.0
 
 
+def in_batches(rows: Iterable[tuple], columns: list[str], size: int = 1000) -> Iterator[pd.DataFrame]:
+    """Rows in frames of ``size``, the last one smaller."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def over_images(images: DataFrame, kernel: Callable[[np.ndarray], Iterable[dict]], schema: str) -> DataFrame:
     """Rows that ``kernel`` makes of each image, with the image's origin. ``images`` has the image source's column image."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in schema.split(", ")]
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                rows = kernel(decoded(row.height, row.width, row.nChannels, row.data))
-                yield pd.DataFrame([{"origin": row.origin} | r for r in rows], columns=["origin", *names])
+            made = ((row.origin, *(r[n] for n in names)) for row in batch.itertuples(index=False) for r in kernel(decoded(row.height, row.width, row.nChannels, row.data)))
+            yield from in_batches(made, ["origin", *names])
 
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, f"origin string, {schema}")
 

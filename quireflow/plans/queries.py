@@ -16,6 +16,7 @@ from ..sources.articles import KNOWN_ARTICLES
 from . import kernel_queries, page_queries  # noqa: F401  (they register theirs)
 from .registry import QUERIES, SQL, registered  # noqa: F401
 from .registry import case as _case
+from .registry import spread_table as _spread
 from .registry import table as _t
 
 _BASIC = "trim(replace(replace(replace(replace(replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), 'Da.', 'Do.'), 'Da,', 'Do.'), 'Do,', 'Do.'), 'Vent.', 'Cent.'), 'Vent', 'Cent'))"
@@ -28,7 +29,7 @@ def _basic(expression: str) -> str:
 @registered(f"SELECT doc_id, {_basic("'Da. ' || text || '  Vent. Do, '")} AS cleaned FROM documents")
 def q01_text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basic text normalisation of whole documents. [TXT1, TXT2]"""
-    docs = _t(spark, sf_dir, "documents")
+    docs = _spread(spark, sf_dir, "documents")
     return docs.select("doc_id", text.basic(F.concat(F.lit("Da. "), "text", F.lit("  Vent. Do, "))).alias("cleaned"))
 
 
@@ -39,7 +40,7 @@ SELECT v = '' OR regexp_full_match(regexp_replace(v, '\\s+', '', 'g'), '[.\\-–
 )
 def q02_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that hold nothing but leader dots. [PRD1]"""
-    lines = _t(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = _spread(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
     value = F.when(F.length("line") % 5 == 0, F.regexp_replace("line", r"[^\s]", ".")).otherwise(F.col("line"))
     return lines.select(text.is_placeholder(value).alias("placeholder")).groupBy("placeholder").agg(F.count("*").alias("n"))
 
@@ -62,7 +63,7 @@ def q03_numeric_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     thousands = lambda by: F.concat(F.floor(n / 1000).cast("string"), F.lit(by), F.lpad((n % 1000).cast("string"), 3, "0"))
     s = n.cast("string")
     raw = _case(F.col("o_orderkey"), thousands(","), thousands("."), F.lit(". . ."), F.concat(s, F.lit(".25")), F.concat(F.lit("| "), s, F.lit(" ;")), F.concat(F.lit("Rs. "), s), F.lit("— "))
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    rows = _spread(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
     return rows.select("o_orderkey", "raw", F.inline(F.array(numbers.clean_number(F.col("raw")))))
 
 
@@ -92,7 +93,7 @@ def q04_edge_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles without the noise at their ends. [PRD4, TXT6, TXT7, TXT8]"""
     name = F.col("p_name")
     raw = _case(F.col("p_partkey"), F.concat(F.lit("12 "), name, F.lit(" ve 9")), F.concat(F.lit("{( "), name, F.lit(" ...,")), F.lit("1 2 3"), F.lit(". . . ."), F.concat(F.lit("a | "), name, F.lit(". x")))
-    return _t(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), text.clean_article(raw).alias("article"))
+    return _spread(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), text.clean_article(raw).alias("article"))
 
 
 @registered(
@@ -120,7 +121,7 @@ SELECT raw, CASE WHEN ditto THEN 'Do.' WHEN short OR cent THEN 'at 3 per Cent.'
 def q06_rate_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duty rates in their usual forms. [TXT11]"""
     raw = _case(F.col("o_orderkey"), *map(F.lit, ("at 3 per Vent.", "Da.", "per  do", "3 Rs. per In. Md.", "at 5 per Cent.", "5 cent", "")), F.col("o_orderpriority"))
-    rows = _t(spark, sf_dir, "orders").select(raw.alias("raw"))
+    rows = _spread(spark, sf_dir, "orders").select(raw.alias("raw"))
     rows = rows.select("raw", text.clean_rate(F.col("raw"), "foreign_duty_rate").alias("foreign_rate"), text.clean_rate(F.col("raw"), "indian_duty_rate").alias("indian_rate"))
     return rows.groupBy("raw", "foreign_rate", "indian_rate").agg(F.count("*").alias("n"))
 
@@ -419,7 +420,7 @@ SELECT doc_id, w.word AS text, w.ord::INT AS ord FROM w JOIN d ON w.word = d.wor
 def q25_score_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word of each document that reads best as a number. [SCR1, TOP5, PRD14, AGG19]"""
     listed = text.words(text.clean_spaces(F.col("text")))
-    found = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(listed).alias("ord", "text"))
+    found = _spread(spark, sf_dir, "documents").select("doc_id", F.posexplode(listed).alias("ord", "text"))
     found = found.select("doc_id", (F.col("ord") + 1).alias("ord"), "text", F.lit("total_value").alias("field"), F.lit(0.5).alias("confidence"), F.lit("table_tokens").alias("engine"))
     return choose.best_candidate(found, ["doc_id"]).select("doc_id", "text", "ord")
 
@@ -609,7 +610,7 @@ def q39_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey")
     token = _case(F.col("l_linenumber"), F.bround("l_extendedprice").cast("long").cast("string"), F.lit(""), F.concat(part, F.lit(","), F.lpad((supplier % 1000).cast("string"), 3, "0")))
     cell = F.when(supplier % 2 == 0, F.concat(F.lit("x"), part)).otherwise(F.concat(part, F.lit(",500")))
-    rows = _t(spark, sf_dir, "lineitem").select(
+    rows = _spread(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("total_value").alias("field"), token.alias("token_text"), F.lit(0.5).alias("token_confidence"), cell.alias("cell_text"), F.lit(0.5).alias("cell_confidence"), F.lit("tesseract@base").alias("cell_engine")
     )
     return choose.resolved(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "text", "engine").distinct()

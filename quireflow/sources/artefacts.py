@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.images import decoded, over_images, three_channels
+from ..operators.images import decoded, in_batches, over_images, three_channels
 
 # Blue, green and red of each kind of line.
 COLOURS = {"row": (0, 255, 0), "column": (255, 0, 0), "table": (0, 0, 255)}
@@ -85,9 +85,8 @@ def overlays(images: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                image = decoded(row.height, row.width, row.nChannels, row.data)
-                yield pd.DataFrame([(row.origin, png(drawn_over(image, [] if row.lines is None else list(row.lines))))], columns=["origin", "png"])
+            drawn = ((row.origin, png(drawn_over(decoded(row.height, row.width, row.nChannels, row.data), [] if row.lines is None else list(row.lines)))) for row in batch.itertuples(index=False))
+            yield from in_batches(drawn, ["origin", "png"], 50)
 
     flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
     return flat.join(listed, "origin", "left").mapInPandas(run, "origin string, png binary")

@@ -1,5 +1,6 @@
 """From drawn page images to records and rows, with readers that know where the text stands."""
 
+import logging
 import re
 import sys
 
@@ -8,6 +9,8 @@ import pandas as pd
 import pytest
 from pyspark import cloudpickle
 
+from quireflow import cli
+from quireflow.operators import engines
 from quireflow.plans import jobs
 from quireflow.sources import layouts
 
@@ -152,3 +155,46 @@ def test_a_page_without_numbers(spark, tmp_path):
 
 def test_no_rows(spark, pages, tmp_path):
     assert isinstance(jobs.spread_records(pages.limit(0), str(tmp_path), {"tesseract": lambda: spread_reader}, {}).toPandas(), pd.DataFrame)
+
+
+@pytest.fixture
+def logs_restored():
+    before = logging.root.handlers[:]
+    yield
+    for handler in logging.root.handlers:
+        if handler not in before:
+            handler.close()
+    logging.root.handlers = before
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch, logs_restored):
+    (tmp_path / "truth.csv").write_text("row_no,article,unit\n1,Rice,lbs.\n2,Paddy,\n3,Tea,No.\n")
+    (tmp_path / "read.csv").write_text('row_no,article,extra\n1,Rice,x\n2,"Paddy, wet",y\n')
+    assert cli.main(["evaluate", str(tmp_path / "truth.csv"), str(tmp_path / "read.csv")]) == 0
+    assert capsys.readouterr().out.splitlines() == ["article: 1 of 2", "*: 1 of 2", "row 2, article: 'Paddy', read 'Paddy, wet'"]
+    for bad in (["evaluate", "none.csv", "none.csv"], ["spreads", "none", "out", "--engines", "m:f"], ["spreads", str(tmp_path), "out", "--engines", "m:f", "--start-page", "0"], []):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+    (tmp_path / "scans").mkdir()
+    (tmp_path / "scans" / "book.pdf").write_bytes(b"x")
+    (tmp_path / "scans" / "bad.pdf").write_bytes(b"y")
+
+    def render(content):
+        if content == b"y":
+            raise ValueError("no pages")
+        yield from (page(side)[2:] for side in ("left", "right"))
+
+    made = {"pages": render, "page_readers": {"tesseract": lambda: spread_reader}}
+    monkeypatch.setattr(cli, "_engines", lambda named: made)
+    assert cli.main(["spreads", str(tmp_path / "scans"), str(tmp_path / "out"), "--engines", "m:f"]) == 0
+    rows = cli.files.read_text_table(spark, str(tmp_path / "out" / "records"))
+    assert rows.count() == 46 and rows.where("article = 'Rice'").count() > 8
+    log = (tmp_path / "out" / "run.log").read_text()
+    assert "rows_total: 46" in log and "no pages" in log
+
+
+def test_engines_are_located(tmp_path):
+    (tmp_path / "engine").write_text("")
+    assert engines.located("no-such-engine", ["nowhere", str(tmp_path / "engine")]) == str(tmp_path / "engine")
+    with pytest.raises(FileNotFoundError):
+        engines.located("no-such-engine")

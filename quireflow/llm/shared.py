@@ -81,7 +81,10 @@ def word_count(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of ``sf_dir``; one of fewer partitions than there are cores, such as a file of one row group, is dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def with_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:

@@ -66,11 +66,13 @@ def is_clean_placeholder(text: Column) -> Column:
 
 def basic(text: Column) -> Column:
     """White space cleaned, misread ditto marks and rates put right. [TXT2]"""
+    # The misreadings, in this order.
     return F.trim(replaced(clean_spaces(text), ("Da.", "Do."), ("Da,", "Do."), ("Do,", "Do."), ("Vent.", "Cent."), ("Vent", "Cent")))
 
 
 def header(text: Column) -> Column:
     """``basic`` and the misreadings of page headings. [TXT4]"""
+    # The misreadings, in this order.
     return clean_spaces(replaced(basic(text), ("Rupoes", "Rupees"), ("Rupees.", "Rupees"), ("Extemal", "External"), ("Externa! ", "External ")))
 
 
@@ -188,6 +190,7 @@ def header_field(text: Column, index: Column, article_index: Column, unit_index:
     t = F.lower(F.coalesce(text, F.lit("")))
     is_ = lambda other: F.coalesce(index == other, F.lit(False))
     pair = lambda field, kind: F.struct((F.lit(field) if isinstance(field, str) else field).alias("field"), F.lit(kind).alias("kind"))
+    # The words of headings.
     return (
         F.when(is_(row_index), pair("row_no", "numeric"))
         .when(is_(article_index) | t.contains("article"), pair("article", "text"))

@@ -432,7 +432,7 @@ s AS (SELECT misread, known, ord, 1 - levenshtein(misread, known)::DOUBLE / grea
 SELECT misread, CASE WHEN likeness >= 0.6 THEN known ELSE misread END AS snapped, round(likeness, 6) AS likeness FROM s QUALIFY row_number() OVER (PARTITION BY misread ORDER BY likeness DESC, ord) = 1"""
 )
 def q26_snap_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct names matched with a small dictionary by edit distance. [JN8]"""
+    """Distinct names matched with a small dictionary by edit distance, in built-in functions alone."""
     misread = F.replace(F.replace("p_name", F.lit("e"), F.lit("c")), F.lit("b"), F.lit("h"))
     asked = _t(spark, sf_dir, "part").select(misread.alias("misread")).distinct()
     known = F.array(*[F.struct(F.lit(-i).alias("back"), F.lit(n).alias("known")) for i, n in enumerate(("red widget", "blue bolt", "small ring", "large gear", "green plate"))])
@@ -515,7 +515,7 @@ def q31_header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH c AS (SELECT l_orderkey, l_returnflag, avg(CASE WHEN l_discount > 0.01 THEN l_discount END) AS c FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, round(avg(c), 9) AS mean_confidence FROM c GROUP BY 1"""
 )
 def q32_conf_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row's confidence: the mean of its fields' means, nulls left out. [AGG1]"""
+    """A row's confidence: the mean of its fields' means, nulls left out."""
     fields = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.avg(F.when(F.col("l_discount") > 0.01, F.col("l_discount"))).alias("c"))
     return fields.groupBy("l_orderkey").agg(F.round(F.avg("c"), 9).alias("mean_confidence"))
 
@@ -546,7 +546,7 @@ r AS (SELECT doc_id, pos, CASE WHEN v BETWEEN 95 AND 141 THEN v WHEN len <= 2 AN
 SELECT doc_id, row_no, max(pos)::INT AS pos FROM r WHERE row_no IS NOT NULL GROUP BY 1, 2"""
 )
 def q34_row_number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row numbers found in documents, the last place of each. [NUM3, NUM13, AGG4]"""
+    """Row numbers found in documents, the last place of each. [NUM3]"""
     tokens = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
     found = tokens.withColumn("row_no", numbers.row_number_in(F.col("token"), F.lit(95), F.lit(141))).where("row_no is not null")
     return found.groupBy("doc_id", "row_no").agg((F.max("pos") + 1).alias("pos"))

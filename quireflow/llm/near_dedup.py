@@ -22,10 +22,10 @@ K, SIMILARITY = 5, 0.9
 #: differs at random places 0.59 of the k-mers are common, 0.42 of all; they agree in a key of three with probability
 #: 0.42 ** 3 and miss all 64 with 0.007. Short texts have fewer in common, and take fewer; the shortest take them all.
 TAKEN, KEYS = {0: 1, 20: 2, 100: 3}, 64
-#: Members of a block of a larger bucket; bins of a profile.
-BLOCK, BINS = 1024, 256
-#: Comparisons from which on a bucket is crowded, and the places, counted on from a key's own, of those that make it finer.
-CROWD, FINER = 1 << 20, (1, 19)
+#: Members of a block of a larger bucket; bins of a profile, and how many of them are added up for a first comparison.
+BLOCK, BINS, FOLDED = 1024, 256, 8
+#: Numbers of profiles that are compared at once.
+CROWD = 1 << 20
 #: Bytes of a text that are hashed at once; numbers in an array of hashes; pairs of texts held as strings at once.
 BYTES, CELLS, PAIRS = 1 << 20, 1 << 20, 200
 
@@ -264,20 +264,32 @@ def _screened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _screened_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of strays and members that may be similar, from the first bucket that a pair shares and that is compared whole."""
+    """Pairs of strays and members that may be similar, from the first bucket that a pair shares.
+
+    Lengths are compared first, then profiles of fewer bins, then whole ones:
+    each bounds the distance from below, so none leaves out a near copy.
+    """
     for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
-        strays, members = (batch.column(c)[0].as_py() for c in ("strays", "members"))
-        table, m = _profiles([x["profile"] for x in members]), np.array([x["n_words"] for x in members])
-        nodes, roots = (np.array([x[c] for x in members]) for c in ("node", "root"))
-        # where a text has no key stands its own number, which no other has
-        held = np.array([[*x["keys"][:KEYS], *[x["node"]] * (KEYS - len(x["keys"]))] for x in members], dtype=np.int64)
-        for x in strays:
-            near = np.flatnonzero(_near(_profiles([x["profile"]]), np.array(x["n_words"]), table, m) & (roots != x["root"]))
-            before = [j for j in range(min(x["i"], KEYS)) if x["whole"] >> j & 1 and j < len(x["keys"])]
-            if before and len(near):
-                near = near[~(held[np.ix_(near, before)] == np.array([x["keys"][j] for j in before])).any(1)]
-            near = nodes[near]
-            yield _pairs(np.minimum(near, x["node"]).tolist(), np.maximum(near, x["node"]).tolist())
+        sides, strays, members = [], *(batch.column(c)[0].as_py() for c in ("strays", "members"))
+        for rows in (strays, members):
+            whole = _profiles([x["profile"] for x in rows])
+            # where a text has no key stands its own number, which no other has
+            held = np.array([[*x["keys"][:KEYS], *[x["node"]] * (KEYS - len(x["keys"]))] for x in rows], dtype=np.int64)
+            sides.append((whole.reshape(len(rows), -1, FOLDED).sum(2, dtype=np.int16), whole, held, *(np.array([x[c] for x in rows]) for c in ("n_words", "node", "root"))))
+        (few_a, one, keys_a, n, a, root_a), (few_b, two, keys_b, m, b, root_b) = sides
+        met = np.array([[x["whole"] >> j & 1 and j < x["i"] for j in range(KEYS)] for x in strays], dtype=bool)
+        step = max(1, CROWD // (BINS * len(b)))
+        for at in range(0, len(a), step):
+            some = slice(at, at + step)
+            near = (np.abs(n[some, None] - m) <= allowed(n[some, None], m)) & (root_a[some, None] != root_b)
+            i, j = near.nonzero()
+            i += at
+            for x, y in ((few_a, few_b), (one, two)):
+                left = _near(x[i], n[i], y[j], m[j])
+                i, j = i[left], j[left]
+            first = ~((keys_a[i] == keys_b[j]) & met[i]).any(1)
+            x, y = a[i[first]], b[j[first]]
+            yield _pairs(np.minimum(x, y).tolist(), np.maximum(x, y).tolist())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -322,26 +334,16 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def _of_large_buckets(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame | None:
     """Pairs within larger buckets, of other classes so far, that may be similar: those not in a bucket's main class with all others.
 
-    A crowded bucket of several classes is dealt to finer ones first, by pairs
-    of keys. Those that are still large are cut into blocks by length, of which
-    those too unlike don't meet. Blocks hold profiles, not texts.
+    However many these are, all are compared. Buckets of more than ``BLOCK``
+    are cut into blocks by length, of which those too unlike don't meet, so
+    that a bucket stands in many tasks. Blocks hold profiles, not texts.
     """
-
-    def of_several(rows: DataFrame) -> DataFrame:
-        main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes"))
-        main = main.where("classes > 1").select("key", F.col("main.root").alias("main"), (F.col("n") * (F.col("n") - F.col("main.n"))).alias("work"))
-        return rows.join(main, "key").withColumn("stray", F.col("root") != F.col("main")).drop("main")
-
     large = members.where("n > 2").join(roots, "node", "left").select("key", "i", "node", "n_words", F.coalesce("root", "node").alias("root"))
-    large = of_several(large)
-    # a bit for each of a text's first keys whose bucket is compared whole
-    whole = F.expr(f"bit_or(CASE WHEN work <= {CROWD} AND i < {KEYS} THEN shiftleft(1L, i) ELSE 0L END)").over(Window.partitionBy("node"))
-    large = written(large.withColumn("whole", whole), "large")
-    finer = F.array(*[F.xxhash64("key", F.get("keys", F.pmod(F.col("i") + step, F.size("keys")))) for step in FINER])
-    crowded = large.where(F.col("work") > CROWD).join(nodes.select("node", "keys"), "node").select(F.explode(finer).alias("key"), "node", "n_words", "root", F.lit(-1).alias("i"), F.lit(0).cast("long").alias("whole"))
-    columns = ["key", "i", "node", "n_words", "root", "stray", "whole"]
-    mixed = large.where(F.col("work") <= CROWD).select(*columns).unionAll(of_several(crowded).select(*columns))
-    mixed = written(mixed, "mixed")
+    main = large.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("classes"))
+    large = large.join(main.where("classes > 1").select("key", F.col("main.root").alias("main")), "key").withColumn("stray", F.col("root") != F.col("main"))
+    # a bit for each of a text's first keys whose bucket is compared
+    whole = F.expr(f"bit_or(CASE WHEN i < {KEYS} THEN shiftleft(1L, i) ELSE 0L END)").over(Window.partitionBy("node"))
+    mixed = written(large.select("key", "i", "node", "n_words", "root", "stray", whole.alias("whole")), "mixed")
     if mixed.isEmpty():
         return None
     member = F.collect_list(F.struct("node", "root", "n_words", "profile", "stray", "i", "whole", "keys"))
@@ -385,14 +387,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     under 100 words, all one by one of those under 20) are taken and kept in
     the order of the text. A bucket's members are compared with its
     best-connected one. Members of a larger bucket that are not of
-    its main class by then are compared with all members of other classes; but
-    a bucket where these would be more than ``CROWD`` comparisons, such as a
-    passage that many unlike texts share makes, is dealt to finer ones by two
-    keys each, as trees of keys grow where they are crowded, and this is done
-    there. So no bucket emits its pairs:
-    lengths and profiles of words, which bound the distance from below, leave
-    few pairs, and only these bring their
-    texts together to be aligned.
+    its main class by then are compared with all members of other classes, in
+    blocks where a bucket is large, such as one that a passage of many unlike
+    texts makes. So no bucket emits its pairs: lengths and profiles of words,
+    which bound the distance from below, leave few pairs, and only these bring
+    their texts together to be aligned.
     """
     k = F.xxhash64("text").alias("k")
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -935,6 +935,21 @@ def test_unlike_texts_of_a_large_bucket_are_compared(spark, monkeypatch, crowd):
     assert got == dict(zip([d for d, _ in table], brute_classes(table), strict=True))
 
 
+def test_a_crowded_bucket_loses_no_near_copies(spark):
+    """Copies with every fifth of their own words changed meet by the passage alone that all 1600 texts share."""
+    passage, table = [f"p{i}" for i in range(60)], []
+    for i in range(800):
+        own = [f"o{i}-{j}" for j in range(55)]
+        table += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + [f"x{w}" if j % 5 == 2 else w for j, w in enumerate(own)]))]
+    keys = [set(near_dedup.keys(near_dedup.kmers(near_dedup.hashes_of(t.encode())))) for _, t in table]
+    met = [bool(keys[2 * i] & keys[2 * i + 1]) for i in range(800)]
+    crowd = Counter(k for x in keys for k in x).most_common(1)[0][1]
+    assert sum(met) > 780 and crowd > 1200
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(800)] == met
+    assert all(got[2 * i] == 2 * i for i in range(800))
+
+
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(11)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 90))] for _ in range(25)]

@@ -571,10 +571,7 @@ def q36_image_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernels over rasters drawn from rows: each part is a small page with a rule and its number as ink. Ink, cell features and rule profiles only. [IMG5, IMG13, IMG19, IMG20]"""
     from ..operators.rasters import drawn
 
-    pages = drawn(_t(spark, sf_dir, "part").select("p_partkey", "p_size"))
-    features = images.image_features(pages)
-    profiles = images.image_profiles(pages).groupBy("origin", "axis").agg(F.max("value").alias("peak"))
-    return features.join(profiles.groupBy("origin").pivot("axis", ["x", "y"]).agg(F.first("peak")), "origin")
+    return images.image_features_and_peaks(drawn(_spread(spark, sf_dir, "part").select("p_partkey", "p_size")))
 
 
 @registered(

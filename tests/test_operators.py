@@ -230,6 +230,23 @@ def test_kernels():
     assert images.gray(np.array([[[255, 0, 0], [0, 0, 255]]], np.uint8)).tolist() == [[29, 76]]
 
 
+def test_stacks_of_images_have_the_features_of_each(spark):
+    """Images of mixed shapes, more than one stack of them, and none of any pixel."""
+    rng, rows = np.random.default_rng(6), []
+    for i in range(90):
+        h, w = ((48, 64), (48, 64), (30, 9), (0, 5))[i % 4]
+        rows.append((f"p{i}", h, w, 1, 0, bytearray(np.where(rng.random((h, w)) < 0.2, 30, 240).astype(np.uint8).tobytes())))
+    one = spark.createDataFrame([("rgb", 48, 64, 3, 16, bytearray(np.repeat(rasters.raster(7, 3)[:, :, None], 3, 2).tobytes()))], "origin string, height int, width int, nChannels int, mode int, data binary")
+    flat = spark.createDataFrame(rows, one.schema).unionAll(one)
+    pages = flat.selectExpr("struct(*) AS image").where("image.height > 0")
+    got = {r["origin"]: r.asDict() for r in images.image_features_and_peaks(pages).collect()}
+    assert len(got) == 69
+    for origin, h, w, channels, _, data in pages.select("image.*").collect():
+        binary = images.ink(images.gray(images.decoded(h, w, channels, data)))
+        peaks = {a: images.rule_profile(binary, a).max() for a in "xy"}
+        assert got[origin] == {"origin": origin} | images.cell_features(binary) | peaks
+
+
 def test_pages_are_rendered_and_errors_kept(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"2")
     (tmp_path / "b.pdf").write_bytes(b"x")

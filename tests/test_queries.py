@@ -64,6 +64,12 @@ def test_kernels_see_ink(spark):
     assert got["part-0"]["x"] >= 30 and got["part-0"]["y"] >= 50
 
 
+def test_parts_of_one_row_group_are_drawn_on_all_cores_and_once(spark):
+    query = queries.QUERIES["q36_image_kernels"](spark, SF)
+    assert query.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 2
+
+
 def test_overlays_show_a_line_each(spark):
     got = {r["origin"]: r["png_sha256"] for r in queries.QUERIES["q42_overlays"](spark, SF).collect()}
     parts = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size").collect()

@@ -111,6 +111,16 @@ def chosen_tokens(tokens: DataFrame, keys: list[str], backend: str = "auto") ->
     return tokens.join(taken, [*keys, "engine"])
 
 
+def forms(image: np.ndarray, field: str, names: list[str], all_engines: bool) -> list[tuple[str, str, np.ndarray, str]]:
+    """engine, label, form and setting of each reading that a cell's field asks for."""
+    first, *others = names
+    if field == "article" or is_number(field):
+        return [(name, name, prepared(image) if name == first else image, settings(field)[0]) for name in names]
+    variants = [(f"{first}:{variant}", prepared(v)) for variant, v in cell_variants(gray(image), field)]
+    asked = [(first, label, form, s) for label, form in variants for s in settings(field)]
+    return asked + [(name, name, image, "") for name in others if all_engines]
+
+
 def cell_readings(crops: DataFrame, factories: dict[str, Callable[[], CellReader]], keys: list[str], all_engines: bool = False) -> DataFrame:
     """Candidates for each cell: ord, engine, text, confidence. [UDF3, UDF4, UDF8]
 
@@ -130,13 +140,7 @@ def cell_readings(crops: DataFrame, factories: dict[str, Callable[[], CellReader
                 field, image = row["field"], decoded(row["height"], row["width"], row["nChannels"], row["data"])
                 if not image.size:
                     continue
-                first, *others = factories
-                if field == "article" or is_number(field):
-                    asked = [(name, name, prepared(image) if name == first else image, settings(field)[0]) for name in factories]
-                else:
-                    asked = [(first, f"{first}:{variant}", prepared(v), s) for variant, v in cell_variants(gray(image), field) for s in settings(field)]
-                    asked += [(name, name, image, "") for name in others if all_engines]
-                for i, (name, label, form, setting) in enumerate(asked):
+                for i, (name, label, form, setting) in enumerate(forms(image, field, list(factories), all_engines)):
                     answer = engines.ask(name, form, setting)
                     if answer is not None:
                         found.append((*(row[k] for k in keys), i, label, *answer))

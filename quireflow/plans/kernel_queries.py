@@ -22,6 +22,7 @@ from ..sources import artefacts, files
 from .page_queries import _points
 from .registry import case as _case
 from .registry import registered
+from .registry import spread_table as _spread
 from .registry import table as _t
 
 _BLOCK = "(y - 14) % 8 < 4 AND y BETWEEN 14 AND 33 AND (x - 12) % 12 < 5 AND x BETWEEN 12 AND 52 AND (id >> ((y - 14) // 8 * 4 + (x - 12) // 12)::INT) & 1 = 1"
@@ -32,7 +33,7 @@ v AS (SELECT *, CASE WHEN block THEN 30 WHEN on_down OR on_across THEN 20 ELSE 2
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawn(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey"), (F.col("s_suppkey") * 7 % 50)))
+    return drawn(_spread(spark, sf_dir, "supplier").select(F.col("s_suppkey"), (F.col("s_suppkey") * 7 % 50)))
 
 
 def _id() -> F.Column:

@@ -262,6 +262,31 @@ def test_pages_are_rendered_and_errors_kept(spark, tmp_path):
         files.documents(spark, str(tmp_path), "*.tif")
 
 
+def test_denoising_agrees_with_plain_means():
+    rng = np.random.default_rng(8)
+    page = np.where(rng.random((9, 12)) < 0.3, rng.integers(0, 90, (9, 12)), 220).astype(np.uint8)
+    h, w, r, p = *page.shape, images.SEARCH // 2, images.PATCH // 2
+    at = lambda y, x: float(page[min(max(y, 0), h - 1), min(max(x, 0), w - 1)])
+    near = lambda y, x: [(min(max(y + i, 0), h - 1), min(max(x + j, 0), w - 1)) for i in range(-p, p + 1) for j in range(-p, p + 1)]
+    for y, x in ((0, 0), (4, 6), (8, 11), (2, 9)):
+        total = weight = 0.0
+        for dy in range(-r, r + 1):
+            for dx in range(-r, r + 1):
+                gap = np.mean([(at(i, j) - at(i + dy, j + dx)) ** 2 for i, j in near(y, x)])
+                likeness = np.exp(-gap / images.STRENGTH**2)
+                total, weight = total + likeness * at(y + dy, x + dx), weight + likeness
+        assert images.denoised(page)[y, x] == round(total / weight)
+
+
+def test_a_variant_is_prepared_once(spark, monkeypatch):
+    """Each form of a cell is enlarged once, however many settings it is read under."""
+    made = []
+    monkeypatch.setattr(engines, "prepared", lambda image: made.append(image) or image)
+    page = rasters.raster(7, 3)
+    asked = engines.forms(page, "remarks", ["tesseract", "paddle"], False)
+    assert len(made) == 3 and [(i, s) for i, _, _, s in asked] == [("tesseract", s) for _ in range(3) for s in engines.settings("remarks")]
+
+
 def test_a_table_in_parts_is_one_document(spark, tmp_path):
     folder = tmp_path / "a folder"
     spark.range(100).repartition(3).write.parquet(str(folder / "in parts.parquet"))

@@ -70,6 +70,10 @@ def test_parts_of_one_row_group_are_drawn_on_all_cores_and_once(spark):
     assert query._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 2
 
 
+def test_cells_of_one_row_group_are_read_on_all_cores(spark):
+    assert queries.QUERIES["q81_cell_readers"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_overlays_show_a_line_each(spark):
     got = {r["origin"]: r["png_sha256"] for r in queries.QUERIES["q42_overlays"](spark, SF).collect()}
     parts = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size").collect()

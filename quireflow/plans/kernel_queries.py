@@ -19,7 +19,7 @@ from ..operators import engines, images
 from ..operators.rasters import drawn
 from ..schema import is_number
 from ..sources import artefacts, files
-from .page_queries import _points
+from .page_queries import _points, _scratch
 from .registry import case as _case
 from .registry import registered
 from .registry import spread_table as _spread
@@ -166,8 +166,9 @@ UNION ALL SELECT id, field, text, confidence, engine FROM s WHERE field NOT IN (
 )
 def q82_chosen_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cell's reading: numbers by vote, articles by likeness or score, others by score. [UDF8, SCR4, AGG13, TOP5, TOP6, SCR6]"""
-    found, cells = _candidates(spark, sf_dir), _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), _case(F.col("s_suppkey"), *map(F.lit, _FIELDS)).alias("field"))
-    chosen = engines.chosen_readings(found, cells, ["id", "field"])
+    path, cells = _scratch(spark, "readings"), _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), _case(F.col("s_suppkey"), *map(F.lit, _FIELDS)).alias("field"))
+    _candidates(spark, sf_dir).write.parquet(path)
+    chosen = engines.chosen_readings(spark.read.parquet(path), cells, ["id", "field"])
     return chosen.select("id", "field", "cell_text", F.round("cell_confidence", 6).alias("cell_confidence"), "cell_engine")
 
 

@@ -74,6 +74,12 @@ def test_cells_of_one_row_group_are_read_on_all_cores(spark):
     assert queries.QUERIES["q81_cell_readers"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_chosen_readings_ask_engines_once(spark):
+    """The plan reads what engines answered; it asks none again."""
+    plan = queries.QUERIES["q82_chosen_readings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
+
+
 def test_overlays_show_a_line_each(spark):
     got = {r["origin"]: r["png_sha256"] for r in queries.QUERIES["q42_overlays"](spark, SF).collect()}
     parts = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size").collect()

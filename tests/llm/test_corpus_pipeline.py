@@ -107,3 +107,15 @@ def test_stages_on_messy_and_empty_tables(spark, name):
     if last:
         assert sum(r["piece"] == 0 for r in rows) == len(MESSY)
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_dedup_stage_takes_copies_of_a_crowded_bucket(spark):
+    """One of each pair of copies that meet by nothing but a passage of all 1600 texts, but those that share no key."""
+    passage, table = [f"p{i}" for i in range(60)], []
+    for i in range(800):
+        own = [f"o{i}-{j}" for j in range(55)]
+        table += [passage + own, passage + [f"x{w}" if j % 5 == 2 else w for j, w in enumerate(own)]]
+    keys = [set(near_dedup.keys(near_dedup.kmers(near_dedup.hashed(t)))) for t in table]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(table)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs.repartition(4), SF).collect())
+    assert kept == [i for i in range(1600) if i % 2 == 0 or not keys[i] & keys[i - 1]]

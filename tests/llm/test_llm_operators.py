@@ -950,6 +950,28 @@ def test_a_crowded_bucket_loses_no_near_copies(spark):
     assert all(got[2 * i] == 2 * i for i in range(800))
 
 
+def test_classes_do_not_depend_on_the_size_of_a_block(spark, monkeypatch):
+    """Texts of many lengths that share a passage: one bucket is compared as one block, or as many, with the same links."""
+    rng = random.Random(12)
+    passage, table = [f"p{i}" for i in range(60)], []
+    for i in range(60):
+        own = [f"o{i}-{j}" for j in range(rng.randrange(40, 80))]
+        table += [" ".join(passage + edited(rng, own, n)) for n in (0, rng.randrange(1, 8), rng.randrange(8, 16))]
+    nodes = [near_dedup.hashes_of(t.encode()) for t in table]
+    keys = [set(near_dedup.keys(near_dedup.kmers(h))) for h in nodes]
+    root = list(range(len(table)))
+    for i, j in itertools.combinations(range(len(table)), 2):
+        if keys[i] & keys[j] and near_dedup.similar(nodes[i], nodes[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(table)), "doc_id long, text string").repartition(4)
+    for block in (1 << 30, 16, 3):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+        assert [got[i] for i in range(len(table))] == root
+    assert max(Counter(k for x in keys for k in x).values()) > 100 and 60 < len(set(root)) < 150
+
+
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(11)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 90))] for _ in range(25)]

@@ -29,8 +29,9 @@ PLAIN = re.compile("[ -~\t-\r¡-¬®-įı-ſ]*")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 #: Patterns by what the configuration asks for: words with the space before them, or words alone in lower case. Either
-#: leaves out nothing but plain white space, so a text whose words are plain is plain.
-SPACED = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|{CONTRACTIONS}| ?[^{BLANK}{LETTERS}{NUMBERS}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+#: leaves out nothing but plain white space, so a text whose words are plain is plain. Runs that end a word are possessive
+#: (++): the same words, and no places are kept to go back to.
+SPACED = re.compile(rf" [{LETTERS}]++|[{LETTERS}]++| ?[{NUMBERS}]++|{CONTRACTIONS}| ?[^{BLANK}{LETTERS}{NUMBERS}]++|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]++")
 LOWER = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|{CONTRACTIONS}|[^{BLANK}{LETTERS}{NUMBERS}]+")
 
 

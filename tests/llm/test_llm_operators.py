@@ -414,6 +414,16 @@ def test_media_of_messy_rows(messy, empty):
 # tokens
 
 
+def test_possessive_runs_find_the_same_words():
+    """The pattern as published, by classes of characters, over texts of few kinds of them."""
+    blank, letters, numbers = tokenization.BLANK, tokenization.LETTERS, tokenization.NUMBERS
+    published = re.compile(rf"{tokenization.CONTRACTIONS}| ?[{letters}]+| ?[{numbers}]+| ?[^{blank}{letters}{numbers}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+    rng = random.Random(13)
+    for _ in range(3000):
+        text = "".join(rng.choices("asteré1² \n'.,", k=rng.randrange(30)))
+        assert tokenization.SPACED.findall(text) == published.findall(text)
+
+
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_ids_are_the_library_s(docs, path):
     rng = random.Random(5)
